@@ -3,7 +3,7 @@
 A window of 13 words can only repeat if every shorter window in it repeats. So the first level looks at windows of 7
 words, and of those only at one for each window of 13: the one with the smallest hash, the same wherever the 13 words
 stand. Windows that repeat between documents at this level alone are doubled to the full length (14, cut at 13), where
-they are compared by 128 bits. No candidates live beyond the asked length, so the ladder ends there.
+they are compared by 96 bits of hashes. No candidates live beyond the asked length, so the ladder ends there.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.cluster import ship
+from nearfield.llm.cluster import durable, ship
 from nearfield.llm.wordscan import NOT_SPACE, U64, Words, in_one_row, spread, text_chunks, window_hashes
 
 WINDOW = 13
@@ -39,16 +39,26 @@ def _anchors(h: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
+def _distinct(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct (row, keys)."""
+    order = np.lexsort((*keys, rows))
+    sorted_, new = [x[order] for x in (rows, *keys)], np.zeros(len(rows), bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return tuple(x[new] for x in sorted_)
+
+
 def _first_level(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, _, data, offs in text_chunks(batch.column(1)):
+            for _, _, data, offs in text_chunks(batch.column(1)):
                 words = Words(data, offs, NOT_SPACE)
                 rows, least = words.rows, _anchors(words.hashes(), window)
                 keep = in_one_row(rows, window)
                 keep[1:] &= (least[1:] != least[:-1]) | (rows[1 : len(keep)] != rows[: len(keep) - 1])
-                yield pa.record_batch([pa.array(least[keep].view(np.int64)), pa.array(ids[at + rows[: len(keep)][keep]].astype(np.int64))], ["h", "doc_id"])
+                _, least = _distinct(rows[: len(keep)][keep], least[keep])
+                yield pa.record_batch([pa.array(least.view(np.int64))], ["h"])
 
     return run
 
@@ -63,12 +73,8 @@ def _second_level(window: int, bits):
                 rows, h = words.rows, words.hashes()
                 least, keep = _anchors(h, window), in_one_row(rows, window)
                 keep &= (table[(least >> U64(6)) & U64(len(table) - 1)] >> (least & U64(63)) & U64(1)).astype(bool)
-                rows, a, b = rows[: len(keep)][keep], window_hashes(h, window)[keep], window_hashes(h, window, SECOND)[keep]
-                order = np.lexsort((b, a, rows))  # a document's repeats of one window count once
-                rows, a, b = rows[order], a[order], b[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (rows[1:] != rows[:-1])
-                yield pa.record_batch([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64)), pa.array(ids[at + rows[new]].astype(np.int64))], ["a", "b", "doc_id"])
+                rows, a, b = _distinct(rows[: len(keep)][keep], window_hashes(h, window)[keep], window_hashes(h, window, SECOND)[keep].astype(np.uint32))
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(ids[at + rows].astype(np.int64))], ["a", "b", "doc_id"])
 
     return run
 
@@ -76,7 +82,7 @@ def _second_level(window: int, bits):
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(1), batch.column(2)
+            texts, gone, copy = batch.column(1), batch.column(2), batch.column(3).to_pylist()
             has = ~np.asarray(gone.is_null())
             kept, counts, removed = [], [], []
             for at, end, data, offs in text_chunks(texts):
@@ -85,7 +91,9 @@ def _cut(window: int):
                 lost, h = np.zeros(end - at, np.int64), None
                 for k in range(end - at):
                     own = data[offs[k] : offs[k + 1]].tobytes().split()
-                    if has[at + k]:
+                    if copy[at + k] and len(own) >= window:
+                        lost[k], own = len(own), []
+                    elif has[at + k]:
                         h = words.hashes() if h is None else h
                         lo, hi = words.first[k], words.first[k + 1]
                         drop = spread(np.isin(window_hashes(h[lo:hi], window), gone[at + k].values.to_numpy().view(U64)), window, hi - lo)
@@ -110,34 +118,41 @@ def _bitmap(hashes: DataFrame, filter_bits: int) -> np.ndarray:
     return table
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, filter_bits: int = 1 << 26) -> DataFrame:
-    """(doc_id, windows): hashes of the windows of each document that start in one with a smaller doc_id, too.
-
-    The first level's survivors reach the second scan as a bitmap of filter_bits bits, a power of two. It only spares
-    work: where it fills up, more windows than need be are compared at full length, with the same result. A corpus of
-    r repeated windows wants about 16 * r bits.
-    """
-    ship(spark := docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    short = texts.mapInArrow(_first_level(window), "h long, doc_id long")
-    again = short.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    bits = spark.sparkContext.broadcast(_bitmap(again.select("h"), filter_bits))
-    full = texts.mapInArrow(_second_level(window, bits), "a long, b long, doc_id long")
-    first = full.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    return full.join(first, ["a", "b"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("a").alias("windows"))
+def first_copies(texts: DataFrame, most: int) -> DataFrame:
+    """(digest, first): the smallest doc_id of each text that several rows have; none at all if there are over `most`."""
+    again = texts.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = durable(again)
+    return again if again.count() <= most else again.where(F.lit(False))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = 1 << 26) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = 1 << 26, most_copied: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each document without the words of repeated windows.
 
     A window is `window` consecutive words [^\\x20\\x09-\\x0D]+ of one document; its words go if the same sequence
     starts in a document with a smaller doc_id. Windows are judged on the input. A null text has no words. Rows of one
     doc_id never count against each other. A row without doc_id has no place in the order: it stays whole and removes
     nothing. Extra columns are not read. No rows give no rows.
+
+    Two bounded broadcasts spare work and never change the result. Texts that occur more than once, if they are at
+    most most_copied, are looked up by their digest: copies after the first repeat it wholly and needn't be compared.
+    The first level's survivors reach the second scan as a bitmap of filter_bits bits (a power of two); where it fills
+    up, more windows than need be are compared at full length. A corpus of r repeated windows wants about 16 * r bits.
     """
-    gone = repeated_windows(docs, window, filter_bits)
+    ship(spark := docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "windows").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    known = texts.where("doc_id is not null and text is not null")
+    firsts = F.broadcast(first_copies(known, most_copied))
+    known = known.join(firsts, F.md5("text") == F.col("digest"), "left").where("first is null or doc_id = first").select("doc_id", "text")
+
+    again = known.mapInArrow(_first_level(window), "h long").groupBy("h").count().where("count > 1")
+    bits = spark.sparkContext.broadcast(_bitmap(again.select("h"), filter_bits))
+
+    full = known.mapInArrow(_second_level(window, bits), "a long, b int, doc_id long")
+    earliest = full.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    gone = full.join(earliest, ["a", "b"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("a").alias("windows"))
+
+    texts = texts.join(firsts, F.md5("text") == F.col("digest"), "left").select("doc_id", "text", F.expr("coalesce(doc_id > first, false)").alias("copy"))
+    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "windows", "copy").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
