@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from nearfield.llm import substring_dedup
+from nearfield.llm import decontaminate, simhash, substring_dedup
 
-QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup}
-ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE}
+QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_simhash": simhash.op7_simhash,
+}
+ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+}
