@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,12 +27,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """Writes frame to the shared checkpoint folder and returns a plan that reads it.
-
-    The folder is the one named by spark.checkpoint.dir; only where none is set (tests) a temporary one is used.
-    """
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, named by spark.checkpoint.dir; where none is set (tests) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cuts the plan of a small frame by a checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """Cuts the plan of a large frame by a Parquet table in the shared folder, which goes when the application ends."""
+    spark = frame.sparkSession
+    name = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(name)

@@ -92,13 +92,23 @@ class Words:
         n = len(self.data)
         forth, back = powers(n + 1)
         total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTES[self.data] * forth[:n], out=total[1:])
+        np.cumsum((_BYTES[self.data] if self.data.dtype == np.uint8 else mix(self.data.astype(U64))) * forth[:n], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * back[self.starts])
 
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
+def prefix_hashes(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """For each byte a hash of the pos bytes before it."""
+    n = len(data)
+    forth, back = powers(n + 1)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(_BYTES[data] * forth[:n], out=total[1:])
+    at = np.arange(n)
+    return (total[at] - total[at - pos]) * back[at - pos]
+
+
 def window_hashes(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """A hash for each n consecutive values; empty if there are fewer."""
     w = len(h)
