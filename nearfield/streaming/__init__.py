@@ -1,0 +1 @@
+"""No query of this engine is a stream: neighbours are ranked over whole tables."""
