@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearfield.llm import decontaminate, flac, html_extract, language_id, quality, secret_scan, simhash, source_mix, substring_dedup
+from nearfield.llm import context_mixing, decontaminate, flac, html_extract, language_id, quality, secret_scan, simhash, source_mix, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_flac": flac.op8_flac,
     "op9_quality": quality.op9_quality,
+    "op10_context_mixing": context_mixing.op10_context_mixing,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
