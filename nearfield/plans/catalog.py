@@ -207,3 +207,12 @@ def tasks(spark: SparkSession, profiles: tuple[str, ...] = ("small", "core", "st
             own = spark.range(1).select(F.lit(k).alias("k"), F.lit(profile).alias("profile"), F.lit(None).cast("string").alias("case_filter"))
         out = own if out is None else out.unionByName(own)
     return out.select(F.row_number().over(W.orderBy("k", "case_filter")).alias("ordinal"), "profile", "case_filter")
+
+
+def plan_manifest(spark: SparkSession, profile: str, memory_budget: int = MEMORY_BUDGET, available: Callable[[str | None], bool] = is_installed) -> dict[str, object]:
+    """A profile's workloads and cells as JSON-safe values; plans are of study size."""
+    cells = cell_plans(spark, profile, memory_budget, available).persist()
+    own = metadata(workloads(spark, profile)).orderBy("case_name").collect()
+    counts = plan_counts(cells).first().asDict()
+    listed = [r.asDict() for r in cells.orderBy("workload", "implementation").collect()]
+    return {"schema_version": 1, "profile": profile, "memory_budget_bytes": memory_budget, "workload_count": len(own), **counts, "workloads": [r.asDict() for r in own], "cells": listed}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.vectors import norm, squared_norm
+from nearfield.functions.vectors import norm, squared_distance_by_norms, squared_norm
 from nearfield.objectives import score_of_distance
 from nearfield.operators import search, study, trusted, validate
 from nearfield.plans import catalog, experiments
@@ -131,6 +131,16 @@ def scores_of_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.select("query_id", "id", score_of_distance("normalized_cosine", d).alias("cosine"), score_of_distance("squared_l2", d).alias("l2")), "cosine", "l2")
 
 
+@query(f"WITH {_scores_sql('squared_l2')} SELECT query_id, id, round(score, 9) + 0.0 AS score FROM s")
+def score_matrix_by_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squared distance from stored norms and one dot product."""
+    corpus = vectors(spark, sf_dir).withColumn("sq_norm", squared_norm(F.col("vector")))
+    queries = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.col("sq_norm").alias("q_sq"))
+    pairs = corpus.crossJoin(F.broadcast(queries))
+    distance = squared_distance_by_norms(F.col("vector"), F.col("q"), F.col("sq_norm"), F.col("q_sq"))
+    return rounded(pairs.select("query_id", "id", (-distance).alias("score")))
+
+
 @query("WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label + 1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM s) SELECT vec_id AS id, i AS coordinate, round(v[i] / n, 9) + 0.0 AS value FROM n, range(1, 65) t(i)")
 def normalize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1)).alias("vector"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,6 +83,15 @@ def clustered(spark: SparkSession, corpus_size: int, dimension: int, query_count
     return Dataset(_rows(spark, corpus, "id", dtype, unit_rows), _rows(spark, queries, "query_id", dtype, unit_rows), "clustered", seed, resolved)
 
 
+def for_workload(spark: SparkSession, workload: Mapping[str, object]) -> Dataset:
+    """The data of a workload row: unit rows for cosine, Gaussian rows otherwise."""
+    sizes = [int(workload[c]) for c in ("corpus_size", "dimension", "query_count")]
+    more = {"dtype": workload["dtype"], "seed": int(workload["seed"])}
+    if resolve_objective(workload["objective"]).requires_unit_rows:
+        return uniform_sphere(spark, *sizes, **more)
+    return gaussian(spark, *sizes, objective=workload["objective"], **more)
+
+
 def distributed_normal(spark: SparkSession, size: int, dimension: int, *, key: str = "id", dtype: str = "float32", seed: int = 0, unit_rows: bool = False) -> DataFrame:
     """Normal rows made by the executors, for sizes the driver can't hold; other values than the generators above."""
     _arguments(size, dimension, 1, dtype, seed)
