@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op4_secret_scan": secret_scan.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op6_source_mix": source_mix.ORACLE,
 }

@@ -110,3 +110,46 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda which: F.expr(f"array_join(transform({which}, x -> concat({names.format('x')}, ':', x.start, ':', x.end)), ',')")
     count = lambda kind: F.expr(f"cast(size(filter(spans, x -> x.kind = {kind})) as bigint)")
     return spans.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told("filter(spans, x -> x.kind < 3)"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def _oracle() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    candidate = CANDIDATE.split(")", 1)[1]  # runs are matched whole, with or without a look behind
+    patterns = [ASSIGN, ACCESS, f"[0-9a-f]{{{LEAST['hex']},}}", candidate]
+    parts = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_extract_all(t, {quoted(p)}) AS f, string_split_regex(t, {quoted(p)}) AS p FROM d WHERE regexp_matches(t, {quoted(p)})" for k, p in enumerate(patterns))
+    allowed = " OR ".join(f"regexp_matches(found, {quoted(p)})" for p in ALLOWED)
+    span = f"[{', '.join(repr(k) for k in KINDS)}][kind + 1] || ':' || a || ':' || e"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS ({parts}), sp AS (
+  SELECT doc_id, kind, found, a, a + length(found) AS e FROM (
+    SELECT doc_id, kind, f[i] AS found, (list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+    FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m))
+), base AS (
+  SELECT * FROM sp WHERE (kind = 0 AND length(regexp_extract(found, {quoted(ASSIGN)}, 2)) >= {LEAST["assign"]}) OR (kind = 1 AND length(found) >= {LEAST["access"]}) OR kind = 2
+), cand AS (
+  SELECT * FROM sp c WHERE kind = 3 AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND NOT ({allowed})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.a < c.e AND c.a < b.e)
+), ch AS (
+  SELECT doc_id, a, e, found, w, substr(found, w + k, 1) AS x FROM (SELECT *, unnest(range(1, length(found) - {WINDOW - 2})) AS w FROM cand), range(0, {WINDOW}) t(k)
+), cnt AS (
+  SELECT doc_id, a, e, found, w, x, count(*) AS n FROM ch GROUP BY ALL
+), ent AS (
+  SELECT doc_id, a, e, found, w, sum(n * log2(n)) AS s FROM cnt GROUP BY doc_id, a, e, found, w
+), best AS (
+  SELECT doc_id, a, e, found, log2({WINDOW}) - round(min(s), 9) / {WINDOW} AS h FROM ent GROUP BY doc_id, a, e, found
+), every AS (
+  SELECT doc_id, kind, a, e FROM base
+  UNION ALL SELECT doc_id, 3, a, e FROM best WHERE h >= CASE WHEN regexp_full_match(found, '[0-9a-fA-F]+') THEN {BITS["hex"]} WHEN regexp_matches(found, '[+/=]') THEN {BITS["base64"]} ELSE {BITS["alnum"]} END
+), told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    string_agg({span}, ',' ORDER BY a, kind) FILTER (kind < 3) AS b, string_agg({span}, ',' ORDER BY a, kind) AS spans
+  FROM every GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
