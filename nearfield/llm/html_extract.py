@@ -35,6 +35,8 @@ NOISE = re.compile(
 )
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article body div main section td blockquote center".split())
+#: A path down to its last article, or else its last main element
+WHOLE = re.compile(r"(.*/article(?:\.[^/]*)?|(?!.*/article(?:[./]|$)).*/main(?:\.[^/]*)?)(?:/|$)")
 #: An element of the first kind, when it begins, ends an open one of the second
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "figcaption"}
@@ -153,10 +155,13 @@ def _behind(page: str, name: str, at: int) -> int:
 
 
 def best_path(found: list[Container]) -> tuple[str, int]:
-    """The path of the container with the highest score, and the score; the first of equals."""
+    """The path of the containers with the highest score, and the score; the first of equals. Inside an article, or else a
+    main element, it is that element that scores."""
     scores: dict[str, int] = {}
     for c in found:
-        scores[c.path] = scores.get(c.path, 0) + c.own - 2 * c.linked
+        whole = WHOLE.match(c.path)
+        path = whole[1] if whole else c.path
+        scores[path] = scores.get(path, 0) + c.own - 2 * c.linked
     path = max(scores, key=lambda p: scores[p])
     return path, max(scores[path], 0)
 

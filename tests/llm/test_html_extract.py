@@ -12,6 +12,8 @@ CASES = {
     "nested": ("<div><p>a</p><div><p>b</p></div><ul><li>c<li>d</ul></div>", "a\nb\nc\nd"),
     "inline": ("<article><p>un<b>bro</b>ken <i>word</i></p></article>", "unbroken word"),
     "links": ("<body><div class='x'><a href='1'>many many many many many links</a></div><div class='y'><p>short text</p></div></body>", "short text"),
+    "sections": ("<main><article><h1>T</h1><section><p>one</p></section><section class='s2'><p>two, which is longer</p></section></article><p>after</p></main>", "T\none\ntwo, which is longer"),
+    "main": ("<body><p>above</p><main><h1>T</h1><div class='x'><p>text of the page</p></div></main></body>", "T\ntext of the page"),
     "none": ("", ""),
 }
 
