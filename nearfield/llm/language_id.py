@@ -90,11 +90,15 @@ class Model:
 
 
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang rows of each language, picked by a hash of doc_id."""
-    ids = docs.select("doc_id", "lang").withColumn("h__", F.xxhash64("doc_id"))
-    ids = ids.withColumn("k__", F.row_number().over(W.partitionBy("lang").orderBy("h__", "doc_id"))).where(F.col("k__") <= per_lang)
-    picked = F.broadcast(ids.select("doc_id").distinct())  # per_lang ids for each language
-    return docs.join(picked, "doc_id", "left_semi")
+    """At most per_lang rows of each language, those with the smallest hashes of doc_id.
+
+    Languages are counted first, and only about twice per_lang rows of each are ranked, so no task sees a language whole.
+    """
+    ids = docs.select("doc_id", "lang").withColumn("h__", F.xxhash64("doc_id")).withColumn("u__", F.expr("shiftrightunsigned(h__, 33) / 2147483648D"))
+    sizes = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n__")))  # a row for each language
+    few = ids.join(sizes, "lang").where(F.col("u__") * F.col("n__") < 2 * per_lang + 100)
+    few = few.withColumn("k__", F.row_number().over(W.partitionBy("lang").orderBy("u__", "h__", "doc_id"))).where(F.col("k__") <= per_lang)
+    return docs.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")  # per_lang ids for each language
 
 
 def train(docs: DataFrame, per_lang: int = 2000, min_count: int = 5) -> Model:
