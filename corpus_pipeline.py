@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.cluster import durable, stored
+from nearfield.llm.cluster import stored
 from nearfield.llm.decontaminate import decontaminate
 from nearfield.llm.language_id import held_out, identify, train
 from nearfield.llm.secret_scan import redact
@@ -25,11 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each SimHash group; of its repeated rows one; and rows without doc_id."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi")
-    repeated = durable(own.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.head(1):  # only then do rows have to be told apart
-        own = own.join(repeated, "doc_id", "left_anti").unionByName(own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
+    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
