@@ -56,7 +56,7 @@ def _first_level(window: int):
                 words = Words(data, offs, NOT_SPACE)
                 rows, least = words.rows, _anchors(words.hashes(), window)
                 keep = in_one_row(rows, window)
-                keep[1:] &= (least[1:] != least[:-1]) | (rows[1 : len(keep)] != rows[: len(keep) - 1])
+                keep[1:] &= (least[1:] != least[:-1]) | (rows[1 : len(keep)] != rows[: max(len(keep) - 1, 0)])
                 _, least = _distinct(rows[: len(keep)][keep], least[keep])
                 yield pa.record_batch([pa.array(least.view(np.int64))], ["h"])
 

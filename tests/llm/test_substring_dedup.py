@@ -56,3 +56,12 @@ def test_query_columns(spark, sf_dir):
     rows = out.collect()
     assert any(r.kept_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.n_words == r.n_removed)
     assert "op1_substring_dedup" in ORACLES
+
+
+def test_chunks_of_fewer_words_than_a_window(make_docs):
+    got = M.substring_dedup(make_docs(["one two three four five"])).collect()
+    assert [tuple(r) for r in got] == [(0, 5, 0, "one two three four five")]
+    texts = ["a short text of six words", " ".join(f"word{k}" for k in range(260_000))]
+    assert len(texts[1]) > 2_000_000
+    got = M.substring_dedup(make_docs(texts).coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == [(0, 6, 0, texts[0]), (1, 260_000, 0, texts[1])]
