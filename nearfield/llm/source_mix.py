@@ -1,6 +1,12 @@
-"""Interleaving sources to target weights (op6) by Pfair scheduling, with DataFrame functions only.
+"""Interleaving sources to target weights (op6) by Pfair scheduling; the rows go through DataFrame functions only.
 
-Target weights are whole units of a cycle of `cycle` slots. A source of u units has its j-th block of a cycle released
+With exact weights, a source of weight w of W in all has its j-th block released at slot floor((j - 1) * W / w), and due
+by ceil(j * W / w). Each slot goes to the released block with the earliest deadline. All deadlines hold, and while no
+source has run out, the blocks of every source up to any slot differ from its weight times the slots by less than one.
+The driver deals the slots, one step a block, in pieces of bounded size.
+
+op6's SQL rounds: target weights are whole units of a cycle of `cycle` slots, one of them kept for each source, so there
+the deviation is below one from the rounded units, and grows with the cycles from the weights. A source of u units has its j-th block of a cycle released
 at slot floor((j - 1) * cycle / u), and due by ceil(j * cycle / u). Each slot goes to the released block with the
 earliest deadline. As the units fill the cycle, all deadlines hold, and while no source has run out, the blocks of every source up to
 any slot differ from its weight times the slots by less than one. A cycle is scheduled once; block b of a source takes
@@ -9,13 +15,22 @@ its place in cycle b div u. Slots of sources that have run out stay empty, so al
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearfield.llm.cluster import stored
+
 CYCLE = 1000
 BLOCK = 50
 SALTS = 256
+#: Blocks in a piece of an exact plan; a plan of one piece is broadcast, others are joined by shuffle
+PIECE = 1 << 20
 
 
 def units(sizes: DataFrame, cycle: int = CYCLE) -> DataFrame:
@@ -43,11 +58,43 @@ def cycle_plan(shares: DataFrame, cycle: int = CYCLE) -> DataFrame:
     return rows.withColumn("release", F.expr(f"((j - 1) * {cycle}L) div u")).withColumn("deadline", F.expr(f"(j * {cycle}L + u - 1) div u"))
 
 
-def pfair_mix(docs: DataFrame, weights: dict[str | None, int] | None = None, cycle: int = CYCLE, block: int = BLOCK) -> DataFrame:
+def schedule(sizes: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(name, block, slot, release, deadline) of every block of sizes (name, blocks, weight): earliest deadline first, ties by name."""
+    sizes = sorted(sizes)
+    everything = sum(w for _, _, w in sizes)
+    waiting, ready, slot = [(0, i, 0) for i in range(len(sizes))], [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, i, b = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(b + 1) * everything // sizes[i][2]), i, b, release))
+        deadline, i, b, release = heapq.heappop(ready)
+        yield sizes[i][0], b, slot, release, deadline
+        if b + 1 < sizes[i][1]:
+            heapq.heappush(waiting, ((b + 1) * everything // sizes[i][2], i, b + 1))
+        slot += 1
+
+
+def exact_plan(spark: SparkSession, sizes: list[tuple[str, int, int]], piece: int = PIECE) -> DataFrame:
+    """(name, block, slot, release, deadline) of schedule(sizes) as a frame, made by pieces."""
+    names = ["name", "block", "slot", "release", "deadline"]
+    types = pa.schema([("name", pa.string()), *((x, pa.int64()) for x in names[1:])])
+    table = lambda rows: spark.createDataFrame(pa.table([list(x) for x in zip(*rows, strict=True)] or [[]] * 5, schema=types))
+    blocks = sum(b for _, b, _ in sizes)
+    rows = schedule(sizes)
+    if blocks <= piece:
+        return F.broadcast(table(list(rows)))
+    return reduce(DataFrame.unionByName, [stored(table([next(rows) for _ in range(min(piece, blocks - k))])) for k in range(0, blocks, piece)])
+
+
+def pfair_mix(docs: DataFrame, weights: dict[str | None, int] | None = None, cycle: int | None = None, block: int = BLOCK) -> DataFrame:
     """docs with block, slot, release, deadline and place (all long); order by slot, then place, to read the mix.
 
     weights gives each source a whole weight; sources that it doesn't name, and all without weights, weigh the square
-    root of their rows. A null source is a source of its own. There are cycle sources at most, or an error is raised.
+    root of their rows. A null source is a source of its own. Weights are at least 1. Without cycle they hold exactly,
+    for any number of sources. With cycle they are rounded to units of it, as op6's SQL has it, and there are cycle
+    sources at most, or an error is raised.
     Inside a source rows are dealt by a fixed permutation of doc_id into 256 runs, each ordered by doc_id (nulls are in
     the first), so no run holds more than a small part of a large source. Rows that share a doc_id follow each other in any order. Own columns of the
     five names are replaced. No row is dropped or repeated; no rows give no rows.
@@ -60,22 +107,29 @@ def pfair_mix(docs: DataFrame, weights: dict[str | None, int] | None = None, cyc
     own = docs.drop("block", "slot", "release", "deadline", "place").withColumn("name", name).withColumn("salt", salt)
     runs = own.groupBy("name", "salt").agg(F.count("*").alias("n"))
     sizes = runs.groupBy("name").agg(F.sum("n").alias("n")).withColumn("weight", F.coalesce(given, F.floor(F.sqrt("n") * 1000).cast("long")))
+    before = F.broadcast(runs.select("name", "salt", (F.sum("n").over(W.partitionBy("name").orderBy("salt")) - F.col("n")).alias("before")))  # 256 rows a source
+    seq = F.col("before") + F.row_number().over(W.partitionBy("name", "salt").orderBy("doc_id")) - 1
+    dealt = own.join(before, ["name", "salt"]).withColumn("seq", seq)
+    dealt = dealt.withColumn("block", F.expr(f"seq div {block}")).withColumn("place", F.expr(f"seq % {block}"))
+    columns = [c for c in docs.columns if c not in ("block", "slot", "release", "deadline", "place")]
+    if cycle is None:
+        if min((weights or {None: 1}).values(), default=1) < 1:
+            raise ValueError("weights are at least 1")
+        listed = [(r["name"], -(-r["n"] // block), r["weight"]) for r in sizes.collect()]  # a row a source
+        return dealt.join(exact_plan(docs.sparkSession, listed), ["name", "block"]).select(*columns, "block", "slot", "release", "deadline", "place")
     shares = units(sizes, cycle)
     shares = shares.withColumn("u", F.expr(f"if(count(*) over (partition by 0) > {cycle}, raise_error('more sources than slots in a cycle'), u)").cast("long"))
     plan = F.broadcast(cycle_plan(shares, cycle).select("name", F.col("j").alias("j"), "u", F.col("slot").alias("at"), F.col("release").alias("r"), F.col("deadline").alias("d")))  # cycle rows
-    before = F.broadcast(runs.select("name", "salt", (F.sum("n").over(W.partitionBy("name").orderBy("salt")) - F.col("n")).alias("before")))  # 256 rows a source
     used = F.broadcast(shares.select("name", F.col("u").alias("units")))
-    seq = F.col("before") + F.row_number().over(W.partitionBy("name", "salt").orderBy("doc_id")) - 1
-    dealt = own.join(before, ["name", "salt"]).withColumn("seq", seq).join(used, "name")
-    dealt = dealt.withColumn("block", F.expr(f"seq div {block}")).withColumn("place", F.expr(f"seq % {block}")).withColumn("turn", F.expr("block div units")).withColumn("j", F.expr("block % units + 1"))
+    dealt = dealt.join(used, "name").withColumn("turn", F.expr("block div units")).withColumn("j", F.expr("block % units + 1"))
     out = dealt.join(plan.drop("u"), ["name", "j"])
     for column, base in (("slot", "at"), ("release", "r"), ("deadline", "d")):
         out = out.withColumn(column, F.expr(f"turn * {cycle}L + {base}"))
-    return out.select(*[c for c in docs.columns if c not in ("block", "slot", "release", "deadline", "place")], "block", "slot", "release", "deadline", "place")
+    return out.select(*columns, "block", "slot", "release", "deadline", "place")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
+    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), cycle=CYCLE)
 
 
 ORACLE = """

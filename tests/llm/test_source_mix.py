@@ -31,3 +31,33 @@ def test_ties_nulls_and_no_rows(spark):
     out = M.pfair_mix(docs).collect()
     assert len(out) == 5 and len({(r.slot, r.place) for r in out}) == 5
     assert M.pfair_mix(docs.limit(0)).collect() == []
+
+
+def test_exact_weights_over_many_blocks(spark):
+    """700/200/100 of a thousand, 9999:1 and 19 of 35,000 all stay below one block from the given weights."""
+    for weights in ({"a": 7, "b": 2, "c": 1}, {"a": 9999, "b": 1}, {"a": 34_981, "b": 19}):
+        total, seen = sum(weights.values()), dict.fromkeys(weights, 0)
+        rows = M.schedule([(s, 60_000 * w // total + 1, w) for s, w in weights.items()])
+        for _, (s, block, slot, release, deadline) in zip(range(50_000), rows, strict=False):
+            assert release <= slot < deadline and block == seen[s]
+            seen[s] += 1
+            assert all(abs(seen[x] * total - w * (slot + 1)) < total for x, w in weights.items())
+
+
+def test_the_mix_holds_the_given_weights(spark, monkeypatch):
+    docs = frame(spark, {"a": 2100, "b": 600, "c": 300})
+    weights = {"a": 7, "b": 2, "c": 1}
+    for piece in (M.PIECE, 1000):  # broadcast, and by shuffle
+        monkeypatch.setattr(M.exact_plan, "__defaults__", (piece,))
+        out = M.pfair_mix(docs, weights, block=1).collect()
+        assert len(out) == 3000 and all(r.release <= r.slot < r.deadline for r in out)
+        order, seen = {r.slot: r.source for r in out}, dict.fromkeys(weights, 0)
+        for slot in range(3000):
+            seen[order[slot]] += 1
+            assert all(abs(seen[s] * 10 - w * (slot + 1)) < 10 for s, w in weights.items())
+
+
+def test_more_sources_than_slots_in_a_cycle(spark):
+    docs = frame(spark, {f"s{k}": 1 for k in range(M.CYCLE + 50)})
+    out = M.pfair_mix(docs).collect()
+    assert len({r.slot for r in out}) == len(out) == M.CYCLE + 50
