@@ -23,17 +23,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named.where("lang_pred <> 'und'").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with key__, a 64-bit hash of doc_id and text: verdicts go by it, so rows without or of one doc_id have their own."""
+    return docs.withColumn("key__", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each SimHash group; of its repeated rows one; and rows without doc_id."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps the document with the smallest doc_id of each SimHash group; of its repeated rows one; and rows without doc_id.
+
+    Of texts in one group that share the smallest doc_id one stays; texts of one doc_id in several groups are judged apart.
+    """
+    keyed = _keyed(docs)
+    groups = simhash_groups(keyed.select(F.col("key__").alias("doc_id"), "text")).select(F.col("doc_id").alias("key__"), "component_id").distinct()
+    least = keyed.where("doc_id is not null").select("doc_id", "key__").join(groups, "key__").groupBy("component_id").agg(F.min(F.struct("doc_id", "key__")).alias("least"))
+    own = keyed.join(least.select("least.key__"), "key__", "left_semi").dropDuplicates(["key__"])
     return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in benchmark passages."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents of which a twentieth or more lies in benchmark passages, with or without doc_id."""
+    keyed = _keyed(docs)
+    found = decontaminate(keyed.select(F.col("key__").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.where("contaminated").select(F.col("doc_id").alias("key__")), "key__", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

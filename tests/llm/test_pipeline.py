@@ -30,3 +30,16 @@ def test_repeated_rows_and_rows_without_id(make_docs):
     docs = make_docs(["a b c d e", "a b c d e", "a b c d e", "q r s t u v"], [1, 1, None, 7])
     got = P.near_duplicate_stage(docs.sparkSession, docs, "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "7", "None"]
+
+
+def test_contaminated_rows_without_id_go_and_texts_of_one_id_are_judged_apart(spark, make_docs, corpus, tmp_path):
+    spark.createDataFrame([(1, corpus[9])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make_docs([corpus[9], corpus[0], corpus[9], corpus[10]], [None, None, 4, 4])
+    got = P.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == sorted([corpus[0], corpus[10]])
+
+
+def test_two_texts_of_one_id_both_stay(make_docs, corpus):
+    docs = make_docs([corpus[0], corpus[10], corpus[10], corpus[10]], [1, 1, 1, 9])
+    got = P.near_duplicate_stage(docs.sparkSession, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, corpus[0]), (1, corpus[10])])
