@@ -17,10 +17,22 @@ from nearfield.llm.simhash import simhash_groups
 from nearfield.llm.source_mix import pfair_mix
 
 
+#: The predicted language must have more of the likelihood than this: more than all others together
+LANGUAGE_SCORE = 0.5
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns languages from the rows that are not held out; rows without any (null, or no letter) go."""
-    named = identify(docs, train(docs.where(~held_out(3, 1))))
-    return named.where("lang_pred <> 'und'").select(*docs.columns)
+    """Learns languages from the rows that are not held out; rows that none of them fits go.
+
+    Those are rows whose predicted language has at most LANGUAGE_SCORE of the likelihood, and null texts and texts
+    without a letter, which score 0. Where no language could be learned, all rows with a letter stay.
+    """
+    model = train(docs.where(~held_out(3, 1)))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    aside = docs.withColumnsRenamed({x: f"{x}__own" for x in ("score", "lang_pred") if x in docs.columns})
+    named = identify(aside, model).where(F.col("score") > LANGUAGE_SCORE)
+    return named.drop("score", "lang_pred").withColumnsRenamed({f"{x}__own": x for x in ("score", "lang_pred")}).select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -43,3 +43,16 @@ def test_two_texts_of_one_id_both_stay(make_docs, corpus):
     docs = make_docs([corpus[0], corpus[10], corpus[10], corpus[10]], [1, 1, 1, 9])
     got = P.near_duplicate_stage(docs.sparkSession, docs, "").collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, corpus[0]), (1, corpus[10])])
+
+
+def test_language_stage_judges_by_score_and_keeps_letters_without_languages(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs(["plain words", "123 456", None, "кот"]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.text for r in P.language_stage(spark, docs, "").collect()) == ["plain words", "кот"]
+    texts = ["the cat and the dog", "der hund und die katze"] * 30 + ["日本"]
+    langs = spark.createDataFrame([(k, ("en", "de")[k % 2] if k < 60 else None) for k in range(61)], "doc_id long, lang string")
+    docs = make_docs(texts).drop("lang").join(langs, "doc_id")
+    got = P.language_stage(spark, docs, "").collect()
+    assert got and list(got[0].asDict()) == docs.columns and {r.score for r in got} == {"extra"}
+    assert sorted(r.text for r in got) == sorted(texts[:60])  # nothing speaks for either language in the last
