@@ -1,7 +1,8 @@
 """Vectorised word scanning: whole Arrow batches of text are split and hashed with array operations.
 
-Words are found by a table of 256 booleans over UTF-8 bytes, so any word rule that is a class of bytes works. Hashes
-are 64-bit polynomials taken from one running sum per chunk, so a word or a window of n words costs the same.
+Words are found by a table of 256 booleans over UTF-8 bytes, so any word rule that is a class of bytes works. A word's
+hash is a chain of 64-bit mixing steps over its bytes, eight at a time; a window's is made of the hashes of its halves,
+so it takes as many steps as n can be doubled. Neither is linear in what it hashes: no two patterns collide by form.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 CHUNK = 1 << 21
-_STEP = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(20250101).integers(0, 2**64, 256, dtype=U64)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+_KEYS = (U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA0761D6478BD642F))
+#: What is left of eight bytes of which only so many belong to the word
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Words of more bytes are hashed one by one
+_LONG = 128
 
 #: Words of the class [^\x20\x09-\x0D]+
 NOT_SPACE = np.ones(256, bool)
@@ -28,16 +32,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The powers of the hash base up to n, and their inverses modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, pow(_STEP, -1, 2**64))):
-            steps = np.full(max(n, CHUNK + 64), base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U64(30))
     x *= U64(0xBF58476D1CE4E5B9)
@@ -89,37 +83,63 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        forth, back = powers(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((_BYTES[self.data] if self.data.dtype == np.uint8 else mix(self.data.astype(U64))) * forth[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * back[self.starts])
+        wide = self.data.dtype.itemsize
+        raw = np.zeros(len(self.data) * wide + 8, np.uint8)
+        raw[:-8] = self.data.view(np.uint8)
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        at, left = self.starts * wide, (self.ends - self.starts) * wide
+        out = mix((eight[at] & _KEPT[np.minimum(left, 8)]) ^ left.astype(U64) * _KEYS[0])
+        more = np.flatnonzero(left > 8)
+        for k in range(8, _LONG, 8):
+            if not len(more):
+                return out
+            rest = left[more] - k
+            out[more] = mix(out[more] * _KEYS[1] ^ (eight[at[more] + k] & _KEPT[np.minimum(rest, 8)]))
+            more = more[rest > 8]
+        for k in more.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(raw[at[k] : at[k] + left[k]].tobytes(), int(_KEYS[2]))
+        return out
 
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
-def prefix_hashes(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """For each byte a hash of the pos bytes before it."""
-    n = len(data)
-    forth, back = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTES[data] * forth[:n], out=total[1:])
-    at = np.arange(n)
-    return (total[at] - total[at - pos]) * back[at - pos]
-
-
 def window_hashes(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """A hash for each n consecutive values; empty if there are fewer."""
-    w = len(h)
-    if w < n:
+    if len(h) < n:
         return np.zeros(0, U64)
     if salt:
         h = mix(h ^ U64(salt))
-    forth, back = powers(w + 1)
-    total = np.zeros(w + 1, U64)
-    np.cumsum(h * forth[:w], out=total[1:])
-    return mix((total[n:] - total[:-n]) * back[: w - n + 1])
+    size = 1
+    while size < n:
+        step = min(size, n - size)  # the halves of the last step may overlap
+        h, size = mix(h[:-step] * _KEYS[1] + h[step:]), size + step
+    return h
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n consecutive values."""
+    size = 1
+    while size < n and len(x):
+        step = min(size, n - size)
+        x, size = np.minimum(x[:-step], x[step:]), size + step
+    return x
+
+
+def joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The chunk with one space behind each word that another word of its row follows, and where each word begins and ends."""
+    n = len(words.data)
+    inside = np.zeros(n + 1, np.int8)
+    inside[words.starts] += 1
+    inside[words.ends] -= 1
+    inside = np.cumsum(inside[:n]) > 0
+    behind = words.ends[words.ends < n]
+    behind = behind[~inside[behind]]
+    data = words.data.copy()
+    data[behind] = 0x20
+    inside[behind] = True
+    place = np.concatenate([[0], np.cumsum(inside)])
+    return data[inside].tobytes(), place[words.starts], place[words.ends]
 
 
 def in_one_row(rows: np.ndarray, n: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -65,3 +66,42 @@ def test_chunks_of_fewer_words_than_a_window(make_docs):
     assert len(texts[1]) > 2_000_000
     got = M.substring_dedup(make_docs(texts).coalesce(1)).collect()
     assert sorted(map(tuple, got)) == [(0, 6, 0, texts[0]), (1, 260_000, 0, texts[1])]
+
+
+def thue_morse(k, a, b):
+    out = a
+    for _ in range(k):
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(make_docs):
+    """Of 1,024 letters and more, such a word and its complement have one polynomial hash modulo 2**64 in any odd base."""
+    odd, even = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    shared = " ".join(f"w{k}" for k in range(12))
+    texts = [f"{shared} {odd}", f"{shared} {even}", f"{shared} {odd}"]
+    assert [tuple(r) for r in M.substring_dedup(make_docs(texts)).orderBy("doc_id").collect()] == plain(texts, [0, 1, 2])
+    order = [f"{x} {y}" for x, y in ((odd, even), (even, odd))]
+    texts = [" ".join(w for w in t.split() for _ in range(7)) for t in order]
+    assert sorted(map(tuple, M.substring_dedup(make_docs(texts)).collect())) == plain(texts, [0, 1])
+
+
+@pytest.mark.parametrize("window", [13, 50])
+@pytest.mark.parametrize("filter_bits, hot_rows", [(1 << 30, 1 << 14), (0, 1 << 14), (1 << 30, 2), (0, 2)])
+def test_ladder_of_several_levels(make_docs, window, filter_bits, hot_rows):
+    """Passages of many lengths around the levels', shared by some and by very many documents."""
+    assert M.ladder(13) == [4, 8, 13] and M.ladder(50) == [4, 8, 16, 32, 50] and M.ladder(2) == [2] and M.ladder(50, 1) == [1, 2, 4, 8, 16, 32, 50]
+    rng = random.Random(window)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(n) for n in (3, 4, 5, 8, 12, 13, 14, 16, 31, 33, 49, 50, 51, 90)]
+    texts = [" ".join(sum((fresh(rng.randrange(20)) + p for p in rng.sample(passages, 4)), fresh(5))) for _ in range(25)]
+    texts += [" ".join(fresh(8) + passages[-1] + passages[5]) for _ in range(12)] + ["", None, " ".join(passages[-1])]
+    ids = rng.sample(range(1000), len(texts))
+    ids[3] = ids[20] = None
+    got = M.substring_dedup(make_docs(texts, ids), window=window, filter_bits=filter_bits, hot_rows=hot_rows).collect()
+    assert sorted(map(tuple, got), key=str) == plain(texts, ids, window)
+
+
+def test_no_candidates_end_the_ladder(make_docs):
+    texts = [" ".join(f"w{k}x{j}" for j in range(100)) for k in range(4)]
+    assert [r.n_removed for r in M.substring_dedup(make_docs(texts), window=50).collect()] == [0] * 4
