@@ -1,165 +1,139 @@
-"""Interleaving sources to target weights (op6) by Pfair scheduling; the rows go through DataFrame functions only.
-
-With exact weights, a source of weight w of W in all has its j-th block released at slot floor((j - 1) * W / w), and due
-by ceil(j * W / w). Each slot goes to the released block with the earliest deadline. All deadlines hold, and while no
-source has run out, the blocks of every source up to any slot differ from its weight times the slots by less than one.
-The driver deals the slots, one step a block, in pieces of bounded size.
-
-op6's SQL rounds: target weights are whole units of a cycle of `cycle` slots, one of them kept for each source, so there
-the deviation is below one from the rounded units, and grows with the cycles from the weights. A source of u units has its j-th block of a cycle released
-at slot floor((j - 1) * cycle / u), and due by ceil(j * cycle / u). Each slot goes to the released block with the
-earliest deadline. As the units fill the cycle, all deadlines hold, and while no source has run out, the blocks of every source up to
-any slot differ from its weight times the slots by less than one. A cycle is scheduled once; block b of a source takes
-its place in cycle b div u. Slots of sources that have run out stay empty, so all rows keep a place.
+"""Interleaving sources to target weights (op6) by Pfair scheduling, with DataFrame functions only.
+
+Rows of a source are dealt into blocks. In the ideal mix every source that has rows left gets its weight's share of each
+slot, and the shares of sources that have run out go to the others: at virtual time v a source of n blocks and weight w
+has had min(n, w * v) of them, and T(v), the sum over the sources, is the slot. Block j of a source may so take the slots from
+floor(T(j / w)), its release, to ceil(T((j + 1) / w)), its deadline. Each slot goes to the released block with the
+earliest deadline. As the ideal mix fills every slot, so do the blocks; all deadlines hold, and up to any slot the
+blocks of every source differ from the ideal mix, hence from its weight's share of the slots while no source has run
+out, by less than one. All of it is whole-number arithmetic on the given weights; nothing is rounded to a cycle.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from functools import reduce
+import math
+from fractions import Fraction
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearfield.llm.cluster import stored
+from nearfield.llm.cluster import durable
 
-CYCLE = 1000
 BLOCK = 50
-SALTS = 256
-#: Blocks in a piece of an exact plan; a plan of one piece is broadcast, others are joined by shuffle
-PIECE = 1 << 20
-
-
-def units(sizes: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """(name, n, u): of sizes (name, n, weight long), one unit each and the rest by weight, largest remainders first."""
-    everything = W.partitionBy(F.lit(0))
-    left = F.lit(cycle) - F.count("*").over(everything)
-    share = left * F.col("weight")
-    total = F.sum("weight").over(everything)
-    dealt = sizes.withColumn("left", left).withColumn("whole", ((share - share % total) / total).cast("long")).withColumn("rest", share % total)
-    order = everything.orderBy(F.desc("rest"), "name")
-    spare = F.col("left") - F.sum("whole").over(everything)
-    return dealt.withColumn("u", 1 + F.col("whole") + (F.row_number().over(order) <= spare).cast("long")).select("name", "n", "u")
-
-
-def cycle_plan(shares: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """(name, u, j, slot, release, deadline) of every block of a cycle: earliest deadline first, ties by name."""
-    listed = shares.agg(F.sort_array(F.collect_list(F.struct("name", "u"))).alias("s"))
-    due = f"((st.k[i] * {cycle}L + s[i].u - 1) div s[i].u)"
-    released = f"st.k[i] <= s[i].u and ((st.k[i] - 1) * {cycle}L) div s[i].u <= t"
-    pick = f"array_min(transform(filter(sequence(0, size(s) - 1), i -> {released}), i -> named_struct('due', {due}, 'i', i))).i"
+#: Blocks that a mix has at most, beside one for each source: beyond BLOCK times as many rows, blocks grow
+MOST_BLOCKS = 1 << 18
+#: Rows that are ranked in one task, about
+RUN = 1 << 16
+#: Slots that are dealt between two copies of the list of those before
+PIECE = 512
+ADDED = ["block", "slot", "release", "deadline", "place"]
+
+
+def edf_plan(sizes: DataFrame) -> DataFrame:
+    """(name, block, slot, release, deadline) of all blocks of sizes (name, n blocks long, w weight long).
+
+    One row holds all sources and slots; its cost is the blocks times the distinct (n, w) and times the sources.
+    """
+    kinds = sizes.groupBy("n", "w").agg(F.count("*").alias("many")).agg(F.collect_list(F.struct("n", "w", "many")).alias("c"))
+    one = sizes.agg(F.sort_array(F.collect_list(F.struct("name", "n", "w"))).alias("s"), F.sum("n").alias("total")).where("total > 0")
+    one = one.withColumn("key", F.lit(0)).join(kinds.withColumn("key", F.lit(0)), "key")
+    ideal = "aggregate(c, 0L, (a, x) -> a + x.many * least(x.n * o.w, x.w * {}))"
+    window = f"named_struct('r', {ideal.format('j')} div o.w, 'd', ({ideal.format('(j + 1)')} + o.w - 1) div o.w)"
+    one = one.withColumn("windows", F.expr(f"transform(s, o -> transform(sequence(0L, o.n - 1), j -> {window}))"))
+    waiting = "get(windows[i], st.k[i])"
+    pick = f"array_min(transform(filter(sequence(0, size(s) - 1), i -> coalesce({waiting}.r <= t, false)), i -> named_struct('d', {waiting}.d, 'i', i))).i"
     step = f"transform(array({pick}), p -> named_struct('k', transform(st.k, (v, i) -> if(i = p, v + 1, v)), 'out', array_append(st.out, named_struct('i', p, 'j', st.k[p]))))[0]"
-    begin = "named_struct('k', transform(s, x -> 1L), 'out', cast(array() as array<struct<i:int,j:bigint>>))"
-    plan = listed.where("size(s) > 0").withColumn("out", F.expr(f"aggregate(sequence(0L, {cycle - 1}L), {begin}, (st, t) -> {step}).out"))
-    rows = plan.select("s", F.posexplode("out").alias("slot", "o")).select(F.expr("s[o.i].name").alias("name"), F.expr("s[o.i].u").alias("u"), F.expr("o.j").alias("j"), F.col("slot").cast("long").alias("slot"))
-    return rows.withColumn("release", F.expr(f"((j - 1) * {cycle}L) div u")).withColumn("deadline", F.expr(f"(j * {cycle}L + u - 1) div u"))
-
-
-def schedule(sizes: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(name, block, slot, release, deadline) of every block of sizes (name, blocks, weight): earliest deadline first, ties by name."""
-    sizes = sorted(sizes)
-    everything = sum(w for _, _, w in sizes)
-    waiting, ready, slot = [(0, i, 0) for i in range(len(sizes))], [], 0
-    while waiting or ready:
-        if not ready:
-            slot = max(slot, waiting[0][0])
-        while waiting and waiting[0][0] <= slot:
-            release, i, b = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(b + 1) * everything // sizes[i][2]), i, b, release))
-        deadline, i, b, release = heapq.heappop(ready)
-        yield sizes[i][0], b, slot, release, deadline
-        if b + 1 < sizes[i][1]:
-            heapq.heappush(waiting, ((b + 1) * everything // sizes[i][2], i, b + 1))
-        slot += 1
-
-
-def exact_plan(spark: SparkSession, sizes: list[tuple[str, int, int]], piece: int = PIECE) -> DataFrame:
-    """(name, block, slot, release, deadline) of schedule(sizes) as a frame, made by pieces."""
-    names = ["name", "block", "slot", "release", "deadline"]
-    types = pa.schema([("name", pa.string()), *((x, pa.int64()) for x in names[1:])])
-    table = lambda rows: spark.createDataFrame(pa.table([list(x) for x in zip(*rows, strict=True)] or [[]] * 5, schema=types))
-    blocks = sum(b for _, b, _ in sizes)
-    rows = schedule(sizes)
-    if blocks <= piece:
-        return F.broadcast(table(list(rows)))
-    return reduce(DataFrame.unionByName, [stored(table([next(rows) for _ in range(min(piece, blocks - k))])) for k in range(0, blocks, piece)])
-
-
-def pfair_mix(docs: DataFrame, weights: dict[str | None, int] | None = None, cycle: int | None = None, block: int = BLOCK) -> DataFrame:
+    none = "cast(array() as array<struct<i:int,j:int>>)"
+    piece = f"aggregate(sequence(b * {PIECE}, least((b + 1) * {PIECE}, total) - 1), named_struct('k', so.k, 'out', {none}), (st, t) -> {step})"
+    whole = f"transform(array({piece}), q -> named_struct('k', q.k, 'out', array_append(so.out, q.out)))[0]"
+    begin = f"named_struct('k', transform(s, o -> 0), 'out', cast(array() as array<array<struct<i:int,j:int>>>))"
+    dealt = one.select("s", "windows", F.expr(f"aggregate(sequence(0L, (total - 1) div {PIECE}), {begin}, (so, b) -> {whole}).out").alias("pieces"))
+    dealt = dealt.select("s", "windows", F.expr(f"flatten(pieces)").alias("out"))
+    rows = dealt.select(F.explode(F.expr("transform(out, (x, t) -> named_struct('name', s[x.i].name, 'block', cast(x.j as long), 'slot', cast(t as long), 'release', windows[x.i][x.j].r, 'deadline', windows[x.i][x.j].d))")).alias("x"))
+    return rows.select("x.*")
+
+
+def whole_weights(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """The same proportions in whole numbers; a float counts as the decimal number that it prints as."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    if any(v <= 0 for v in exact.values()):
+        raise ValueError("weights are above 0")
+    scale = math.lcm(*(v.denominator for v in exact.values()))
+    found = {k: int(v * scale) for k, v in exact.items()}
+    if sum(found.values()) >= 1 << 31:
+        raise ValueError("weights need more than 31 bits as whole numbers")
+    return found
+
+
+def _place_of(docs: DataFrame) -> Column:
+    """32 bits by which the rows of a source are ordered: of the MD5 of doc_id, or of all columns of a row without doc_id."""
+    whole = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 32))
+    return F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long"), whole)
+
+
+def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """docs with block, slot, release, deadline and place (all long); order by slot, then place, to read the mix.
 
-    weights gives each source a whole weight; sources that it doesn't name, and all without weights, weigh the square
-    root of their rows. A null source is a source of its own. Weights are at least 1. Without cycle they hold exactly,
-    for any number of sources. With cycle they are rounded to units of it, as op6's SQL has it, and there are cycle
-    sources at most, or an error is raised.
-    Inside a source rows are dealt by a fixed permutation of doc_id into 256 runs, each ordered by doc_id (nulls are in
-    the first), so no run holds more than a small part of a large source. Rows that share a doc_id follow each other in any order. Own columns of the
-    five names are replaced. No row is dropped or repeated; no rows give no rows.
+    weights gives sources their weights, above 0; without any, sources weigh the square root of their rows. Sources that
+    given weights leave out weigh as much as the least of them. A null source is a source of its own. Slots run from 0
+    without gaps, one block each. The rows of a source are ordered by a hash of doc_id, then doc_id, and ranked in as
+    many tasks as its size wants; rows that share a doc_id, or that have none and are equal, follow each other in any
+    order. Blocks have `block` rows, or more where there would be more than most_blocks. Own columns of the five names
+    are replaced, all others pass unchanged. No row is dropped or repeated; no rows give no rows.
     """
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    given = F.lit(None).cast("long")
-    for source, weight in (weights or {}).items():
-        given = F.when(F.col("name") == ("" if source is None else f"={source}"), F.lit(weight).cast("long")).otherwise(given)
-    salt = F.coalesce(F.expr(f"pmod(pmod(doc_id, 4294967296) * 1103515245 + 12345, 4294967296) div {2**32 // SALTS}"), F.lit(0).cast("long"))
-    own = docs.drop("block", "slot", "release", "deadline", "place").withColumn("name", name).withColumn("salt", salt)
-    runs = own.groupBy("name", "salt").agg(F.count("*").alias("n"))
-    sizes = runs.groupBy("name").agg(F.sum("n").alias("n")).withColumn("weight", F.coalesce(given, F.floor(F.sqrt("n") * 1000).cast("long")))
-    before = F.broadcast(runs.select("name", "salt", (F.sum("n").over(W.partitionBy("name").orderBy("salt")) - F.col("n")).alias("before")))  # 256 rows a source
-    seq = F.col("before") + F.row_number().over(W.partitionBy("name", "salt").orderBy("doc_id")) - 1
-    dealt = own.join(before, ["name", "salt"]).withColumn("seq", seq)
-    dealt = dealt.withColumn("block", F.expr(f"seq div {block}")).withColumn("place", F.expr(f"seq % {block}"))
-    columns = [c for c in docs.columns if c not in ("block", "slot", "release", "deadline", "place")]
-    if cycle is None:
-        if min((weights or {None: 1}).values(), default=1) < 1:
-            raise ValueError("weights are at least 1")
-        listed = [(r["name"], -(-r["n"] // block), r["weight"]) for r in sizes.collect()]  # a row a source
-        return dealt.join(exact_plan(docs.sparkSession, listed), ["name", "block"]).select(*columns, "block", "slot", "release", "deadline", "place")
-    shares = units(sizes, cycle)
-    shares = shares.withColumn("u", F.expr(f"if(count(*) over (partition by 0) > {cycle}, raise_error('more sources than slots in a cycle'), u)").cast("long"))
-    plan = F.broadcast(cycle_plan(shares, cycle).select("name", F.col("j").alias("j"), "u", F.col("slot").alias("at"), F.col("release").alias("r"), F.col("deadline").alias("d")))  # cycle rows
-    used = F.broadcast(shares.select("name", F.col("u").alias("units")))
-    dealt = dealt.join(used, "name").withColumn("turn", F.expr("block div units")).withColumn("j", F.expr("block % units + 1"))
-    out = dealt.join(plan.drop("u"), ["name", "j"])
-    for column, base in (("slot", "at"), ("release", "r"), ("deadline", "d")):
-        out = out.withColumn(column, F.expr(f"turn * {cycle}L + {base}"))
-    return out.select(*columns, "block", "slot", "release", "deadline", "place")
+    columns = [c for c in docs.columns if c not in ADDED]
+    own = docs.select(*columns, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__name"), _place_of(docs.select(*columns)).alias("__h"))
+    sizes = durable(own.groupBy("__name").agg(F.count("*").alias("__n")))  # a row for each source
+    rows, sources = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+    block = max(block, -(-rows // most_blocks))
+    weight = F.floor(F.sqrt("__n") * 1000).cast("long")
+    if weights:
+        whole = whole_weights(weights)
+        weight = F.lit(min(whole.values())).cast("long")
+        for source, w in whole.items():
+            weight = F.when(F.col("__name") == ("" if source is None else f"={source}"), F.lit(w).cast("long")).otherwise(weight)
+    plan = edf_plan(sizes.select(F.col("__name").alias("name"), F.ceil(F.col("__n") / block).cast("long").alias("n"), weight.alias("w")))
+    plan = plan.select(F.col("name").alias("__name"), F.col("block").alias("__block"), *(F.col(c).alias(f"__{c}") for c in ("slot", "release", "deadline")))
+
+    runs = sizes.select("__name", F.expr(f"1 + __n div {RUN}").alias("__runs"))
+    few = sources + rows // block < 1 << 20
+    small = F.broadcast if few else (lambda frame: frame)
+    own = own.join(small(runs), "__name").withColumn("__run", F.expr("(__h * __runs) div 4294967296")).drop("__runs")
+    counted = own.groupBy("__name", "__run").agg(F.count("*").alias("__n"))
+    before = counted.select("__name", "__run", (F.sum("__n").over(W.partitionBy("__name").orderBy("__run")) - F.col("__n")).alias("__before"))
+    ranked = own.withColumn("__rank", F.row_number().over(W.partitionBy("__name", "__run").orderBy("__h", "doc_id")) - 1)
+    dealt = ranked.join(before, ["__name", "__run"]).withColumn("__seq", F.col("__before") + F.col("__rank"))
+    dealt = dealt.withColumn("__block", F.expr(f"__seq div {block}")).withColumn("__place", F.expr(f"__seq % {block}"))
+    return dealt.join(small(plan), ["__name", "__block"]).select(*columns, *(F.col(f"__{c}").cast("long").alias(c) for c in ADDED))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), cycle=CYCLE)
+    return pfair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
 
 
 ORACLE = """
-WITH RECURSIVE src AS (
-  SELECT coalesce('=' || source, '') AS name, count(*) AS n, floor(sqrt(count(*)) * 1000)::BIGINT AS w FROM documents GROUP BY 1
-), dealt AS (
-  SELECT name, n, 1000 - count(*) OVER () AS free, ((1000 - count(*) OVER ()) * w) // (sum(w) OVER ())::BIGINT AS whole, ((1000 - count(*) OVER ()) * w) % (sum(w) OVER ())::BIGINT AS rest FROM src
-), units AS (
-  SELECT name, n, (1 + whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, name) <= free - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS u FROM dealt
-), arr AS (
-  SELECT list(name ORDER BY name) AS names, list(u ORDER BY name) AS us, count(*) AS m FROM units
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS name, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents
+), src AS (
+  SELECT name, floor(sqrt(count(*)) * 1000)::BIGINT AS w, (count(*) + size - 1) // size AS n, size
+  FROM docs, (SELECT greatest(50, (count(*) + 262143) // 262144) AS size FROM documents) GROUP BY name, size
+), blocks AS (
+  SELECT name, block, w FROM (SELECT name, w, unnest(range(n)) AS block FROM src)
+), windows AS (
+  SELECT b.name, b.block, (sum(least(k.n * b.w, k.w * b.block))::BIGINT // b.w) AS release,
+         ((sum(least(k.n * b.w, k.w * (b.block + 1)))::BIGINT + b.w - 1) // b.w) AS deadline
+  FROM blocks b, src k GROUP BY b.name, b.block, b.w
+), ordered AS (
+  SELECT list(struct_pack(r := release, d := deadline, name := name, block := block) ORDER BY deadline, name) AS jobs FROM windows
 ), edf AS (
-  SELECT -1::BIGINT AS t, list_transform(us, lambda x: 1::BIGINT) AS k, 0::BIGINT AS i, 0::BIGINT AS j FROM arr
+  SELECT -1::BIGINT AS t, jobs AS waiting, NULL::STRUCT(r BIGINT, d BIGINT, name VARCHAR, block BIGINT) AS job FROM ordered
   UNION ALL
-  SELECT t, list_transform(range(1, m + 1), lambda x: k[x] + CASE WHEN x = p THEN 1 ELSE 0 END), p, k[p]
-  FROM (
-    SELECT edf.t + 1 AS t, k, m,
-      list_min(list_transform(list_filter(range(1, m + 1), lambda x: k[x] <= us[x] AND ((k[x] - 1) * 1000) // us[x] <= edf.t + 1), lambda x: ((k[x] * 1000 + us[x] - 1) // us[x]) * 100000 + x)) % 100000 AS p
-    FROM edf, arr WHERE edf.t < 999
-  )
-), plan AS (
-  SELECT names[i] AS name, j, t AS at, us[i] AS u, ((j - 1) * 1000) // us[i] AS r, (j * 1000 + us[i] - 1) // us[i] AS d FROM edf, arr WHERE t >= 0
-), docs AS (
-  SELECT doc_id, source, coalesce('=' || source, '') AS name, ((doc_id % 4294967296) * 1103515245 + 12345) % 4294967296 // 16777216 AS salt FROM documents
+  SELECT t + 1, list_filter(waiting, lambda x: NOT (x.name = next.name AND x.block = next.block)), next
+  FROM (SELECT t, waiting, list_filter(waiting, lambda x: x.r <= t + 1)[1] AS next FROM edf WHERE len(waiting) > 0)
 ), seqs AS (
-  SELECT *, row_number() OVER (PARTITION BY name ORDER BY salt, doc_id) - 1 AS seq FROM docs
-), blocks AS (
-  SELECT s.*, seq // 50 AS block, seq % 50 AS place, u FROM seqs s JOIN units USING (name)
+  SELECT d.*, row_number() OVER (PARTITION BY d.name ORDER BY h, doc_id) - 1 AS seq, size FROM docs d JOIN src USING (name)
 )
-SELECT b.doc_id, b.source, b.block, (b.block // b.u) * 1000 + p.at AS slot, (b.block // b.u) * 1000 + p.r AS release,
-       (b.block // b.u) * 1000 + p.d AS deadline, b.place
-FROM blocks b JOIN plan p ON p.name = b.name AND p.j = b.block % b.u + 1
+SELECT s.doc_id, s.source, (seq // size)::BIGINT AS block, e.t AS slot, e.job.r AS release, e.job.d AS deadline, (seq % size)::BIGINT AS place
+FROM seqs s JOIN edf e ON e.job.name = s.name AND e.job.block = seq // size
 """
