@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearfield.llm.cluster import ship
-from nearfield.llm.tables import add_up
-from nearfield.llm.wordscan import U64, Words, mix, text_chunks, window_hashes
+from nearfield.llm.cluster import ship, stored
+from nearfield.llm.wordscan import CHUNK, U64, Words, mix, text_chunks, window_hashes
 
 ORDERS = (4, 3, 2, 1)
 #: Slots of the hashed n-gram tables, by length
@@ -50,95 +49,117 @@ def grams(words: Words, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(len(words)), many)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + words.starts[owner]
     h = window_hashes(mix(words.data.astype(U64) + U64(n)), n)
-    return (h[at] >> U64(40)).astype(np.int64) % SLOTS[n] if len(at) else np.zeros(0, np.int64), owner
+    return (h[at] >> U64(40)) % U64(SLOTS[n]) if len(at) else np.zeros(0, U64), owner
+
+
+def _gathered(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, which of at) of all entries of the given keys, where key k has the entries first[k] to first[k + 1]."""
+    many = first[at + 1] - first[at]
+    which = np.repeat(np.arange(len(at)), many)
+    return np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + first[at][which], which
+
+
+class Counts:
+    """How often training saw each key in each language, sparse: log frequencies as a floor for all and what is above it."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, k: int, size: int, least: int):
+        order = np.lexsort((langs, keys))
+        keys, langs, counts = keys[order], langs[order], counts[order].astype(np.float64)
+        total = np.bincount(langs, counts, k) + 0.5 * size + 1
+        self.floor = np.log(0.5 / total)
+        self.keys, begin = np.unique(keys, return_index=True)
+        known = np.add.reduceat(counts, begin) >= least if len(begin) else np.zeros(0, bool)
+        many = np.diff(np.append(begin, len(keys)))
+        mine = np.repeat(known, many)
+        self.keys, self.first = self.keys[known], np.concatenate([[0], np.cumsum(many[known])])
+        self.langs, self.above = langs[mine], np.log((counts[mine] + 0.5) / 0.5)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each key."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def averages(self, at: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """For each owner the mean log frequency, by language, of the keys that it has."""
+        k = len(self.floor)
+        place, which = _gathered(at, self.first)
+        above = np.bincount(owner[which] * k + self.langs[place], self.above[place], owners * k).reshape(owners, k)
+        return above / np.maximum(np.bincount(owner, minlength=owners), 1)[:, None] + self.floor
 
 
 class Model:
-    """Word and n-gram log frequencies of each language; all of bounded size."""
+    """Word and n-gram log frequencies of each language, as sparse as the training rows; order 0 has the words."""
 
-    def __init__(self, langs: list[str], words: np.ndarray, word_counts: np.ndarray, tables: dict[int, np.ndarray]):
-        self.langs, self.words = langs, words
-        self.word_scores = self._logs(word_counts)
-        self.known = {n: (t.sum(axis=1) > 1) for n, t in tables.items()}
-        self.gram_scores = {n: self._logs(t) for n, t in tables.items()}
-
-    @staticmethod
-    def _logs(counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts) + 1)).astype(np.float32)
+    def __init__(self, langs: list[str], counts: dict[int, Counts]):
+        self.langs, self.counts = langs, counts
 
     def sums(self, words: Words) -> np.ndarray:
-        """The score of each row of a chunk for each language."""
-        n_rows, k = len(words.counts), len(self.langs)
-        h = words.hashes()
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1) if len(self.words) else np.zeros(len(h), np.int64)
-        seen = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-        scores = np.zeros((len(h), k), np.float32)
-        scores[seen] = self.word_scores[at[seen]]
+        """The score of each row of a chunk for each language; a row's sum depends on its own words alone."""
+        k, h = len(self.langs), words.hashes()
+        at, seen = self.counts[0].find(h)
+        scores = np.zeros((len(h), k))
+        scores[seen] = self.counts[0].averages(at[seen], np.arange(int(seen.sum())), int(seen.sum()))
         left = ~seen
         for n in ORDERS:
             slot, owner = grams(words, left, n)
-            fit = self.known[n][slot]
-            slot, owner = slot[fit], owner[fit]
-            if len(slot):
-                heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                some = owner[heads]
-                scores[some] = np.add.reduceat(self.gram_scores[n][slot], heads, axis=0) / np.diff(np.append(heads, len(owner)))[:, None]
-                left[some] = False
-        total = np.zeros((len(h) + 1, k))
-        np.cumsum(scores, axis=0, dtype=np.float64, out=total[1:])
-        return (total[words.first[1:]] - total[words.first[:-1]]).reshape(n_rows, k)
+            at, fit = self.counts[n].find(slot)
+            at, owner = at[fit], owner[fit]
+            some, mine = np.unique(owner, return_inverse=True)
+            scores[some] = self.counts[n].averages(at, mine, len(some))
+            left[some] = False
+        total = np.zeros((len(words.counts), k))
+        full = np.flatnonzero(words.counts)
+        if len(full):
+            total[full] = np.add.reduceat(scores, words.first[full], axis=0)
+        return total
 
 
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang rows of each language, those with the smallest hashes of doc_id.
+    """(text, lang): at most per_lang rows of each language, those with the smallest hashes of (doc_id, text); of equal rows any.
 
-    Languages are counted first, and only about twice per_lang rows of each are ranked, so no task sees a language whole.
+    Languages are counted first. Then about twice per_lang rows of each are stored, and only those are ranked, so no
+    task sees a language whole, and documents are read twice.
     """
-    ids = docs.select("doc_id", "lang").withColumn("h__", F.xxhash64("doc_id")).withColumn("u__", F.expr("shiftrightunsigned(h__, 33) / 2147483648D"))
-    sizes = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n__")))  # a row for each language
-    few = ids.join(sizes, "lang").where(F.col("u__") * F.col("n__") < 2 * per_lang + 100)
-    few = few.withColumn("k__", F.row_number().over(W.partitionBy("lang").orderBy("u__", "h__", "doc_id"))).where(F.col("k__") <= per_lang)
-    return docs.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")  # per_lang ids for each language
+    keyed = docs.select("doc_id", "text", "lang").withColumn("h__", F.xxhash64("doc_id", "text")).withColumn("u__", F.expr("shiftrightunsigned(h__, 33) / 2147483648D"))
+    sizes = F.broadcast(docs.groupBy("lang").agg(F.count("*").alias("n__")))  # a row for each language
+    few = stored(keyed.join(sizes, "lang").where(F.col("u__") * F.col("n__") < 2 * per_lang + 100).select("text", "lang", "h__", "u__"))
+    ranked = few.withColumn("k__", F.row_number().over(W.partitionBy("lang").orderBy("u__", "h__")))
+    return ranked.where(F.col("k__") <= per_lang).select("text", "lang")
 
 
 def train(docs: DataFrame, per_lang: int = 2000, min_count: int = 5) -> Model:
-    """Fits on at most per_lang rows of each non-null lang; words seen min_count times and more are known."""
+    """Fits on at most per_lang rows of each non-null lang; words seen min_count times and more are known.
+
+    Rows without doc_id count like others. What is collected grows with the languages' samples, not with the corpus.
+    """
     ship(docs.sparkSession)
     own = sample(docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang")), per_lang)
-    langs = [r[0] for r in own.select("lang").distinct().orderBy("lang").collect()]
-    number = {x: k for k, x in enumerate(langs)}
-    starts, size = {}, 0
-    for n in ORDERS:
-        starts[n], size = size, size + SLOTS[n] * len(langs)
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
+            names, lang = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
             for at, _, data, offs in text_chunks(batch.column(0)):
                 words = letters_of(data, offs)
-                h, owner = words.hashes(), lang[at + words.rows]
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
-                heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)])
-                yield pa.record_batch([pa.array(h[heads].view(np.int64)), pa.array(owner[heads]), pa.array(np.diff(np.append(heads, len(h))))], ["h", "lang", "n"])
-
-    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-        for at, _, data, offs in text_chunks(batch.column(0)):
-            words = letters_of(data, offs)
-            owner = lang[at + words.rows]
-            for n in ORDERS:
-                slot, word = grams(words, np.ones(len(words), bool), n)
-                table[starts[n] : starts[n] + SLOTS[n] * len(langs)] += np.bincount(slot * len(langs) + owner[word], minlength=SLOTS[n] * len(langs))
-
-    texts = own.select("text", "lang")
-    counted = texts.mapInArrow(words_of, "h long, lang long, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
-    counted = counted.withColumn("all", F.sum("n").over(W.partitionBy("h"))).where(F.col("all") >= min_count).select("h", "lang", "n").toArrow()
-    keys, which = np.unique(counted.column("h").to_numpy().view(U64), return_inverse=True)
-    word_counts = np.zeros((len(keys), len(langs)))
-    word_counts[which, counted.column("lang").to_numpy()] = counted.column("n").to_numpy()
-    table = add_up(texts.coalesce(4), size, fill)
-    return Model(langs, keys, word_counts, {n: table[starts[n] : starts[n] + SLOTS[n] * len(langs)].reshape(SLOTS[n], len(langs)) for n in ORDERS})
+                owner = lang[at + words.rows]
+                for n in (0, *ORDERS):
+                    keys, word = (words.hashes(), np.arange(len(words))) if not n else grams(words, np.ones(len(words), bool), n)
+                    keys, which = keys.astype(U64), owner[word]
+                    order = np.lexsort((keys, which))
+                    keys, which = keys[order], which[order]
+                    heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])])[: len(keys)])
+                    yield pa.record_batch([pa.array(np.full(len(heads), n)), pa.array(keys[heads].view(np.int64)), pa.array(names[which[heads]].astype(object), pa.string()), pa.array(np.diff(np.append(heads, len(keys))))], ["gram", "key", "lang", "n"])
+
+    counted = own.mapInArrow(count, "gram long, key long, lang string, n long").groupBy("gram", "key", "lang").agg(F.sum("n").alias("n"))
+    got = counted.toArrow()
+    langs, which = np.unique(np.array(got.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+    gram, keys, n = got.column("gram").to_numpy(), got.column("key").to_numpy().view(U64), got.column("n").to_numpy()
+    tables = {}
+    for order in (0, *ORDERS):
+        mine = gram == order
+        tables[order] = Counts(keys[mine], which[mine], n[mine], len(langs), SLOTS.get(order) or len(np.unique(keys[mine])), 2 if order else min_count)
+    return Model(langs.tolist(), tables)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -158,9 +179,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*model.langs, "und"], object)
         for batch in batches:
             best, sure = np.full(batch.num_rows, len(model.langs)), np.zeros(batch.num_rows)
-            for at, end, data, offs in text_chunks(batch.column("text")):
-                if not model.langs:
-                    continue
+            if not model.langs:
+                yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(names[best], pa.string()), pa.array(sure)], [*columns, "lang_pred", "score"])
+                continue
+            for at, end, data, offs in text_chunks(batch.column("text"), max(CHUNK // 16, CHUNK * 4 // max(len(model.langs), 4))):
                 words = letters_of(data, offs)
                 sums = model.sums(words)
                 some = words.counts > 0
