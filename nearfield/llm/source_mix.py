@@ -24,7 +24,7 @@ BLOCK = 50
 #: Blocks that a mix has at most, beside one for each source: beyond BLOCK times as many rows, blocks grow
 MOST_BLOCKS = 1 << 18
 #: Rows that are ranked in one task, about
-RUN = 1 << 16
+RUN = 1 << 12
 #: Slots that are dealt between two copies of the list of those before
 PIECE = 512
 ADDED = ["block", "slot", "release", "deadline", "place"]
