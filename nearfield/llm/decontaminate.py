@@ -3,49 +3,66 @@
 Patterns are the windows of 13 consecutive words of the benchmark items, and whole items of fewer words. For each
 pattern length a shift table says, by the block of words (two) at the end of the place looked at, how far the search can move
 without missing a pattern. Many stretches of text are searched side by side, each moved by its own shift. Where the
-shift is zero, the block selects a bucket of patterns by hash, and those of the same hash over the whole window are compared byte by byte.
+shift is zero, the block selects a bucket of patterns, and those of the same hash over the whole window are compared byte by byte.
+
+The driver compiles the items once, into arrays: a pattern is a hash and a place in the items' text. The shift table grows
+with the number of patterns, so that most blocks of other text still shift by the whole length.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.cluster import durable, ship
-from nearfield.llm.wordscan import ALPHANUMERIC, LOWER, U64, Words, text_chunks, window_hashes
+from nearfield.llm.cluster import ship
+from nearfield.llm.wordscan import ALPHANUMERIC, LOWER, U64, Words, joined, text_chunks, window_hashes
 
 WINDOW = 13
 STRETCH = 512
-SHIFT_BITS = 16
+#: Bits of a shift table: for each word of a pattern in it four to eight entries, from 2**16 to 2**26
+SHIFT_BITS = (16, 26)
+#: Bytes that a word of an item takes in compiled form, at most: hashes, places, item lists, and its part of the shift table
+WORD_BYTES = 160
 
 
 class Patterns:
-    """The shift table, the suffix buckets and the strings of all patterns of one length."""
+    """The shift table, the suffix buckets and the places of all patterns of one length."""
 
-    def __init__(self, length: int, strings: dict[bytes, list[int]]):
+    def __init__(self, length: int, words: Words, h: np.ndarray, at: np.ndarray, item: np.ndarray):
+        """Of the words of all items (hashes h): patterns begin at the words `at`, and belong to the items `item`."""
         self.length, self.block = length, min(2, length)
-        self.strings = list(strings)
-        self.items = [strings[s] for s in self.strings]
-        joined = b"\n".join(self.strings)
-        words = Words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), ALPHANUMERIC)
-        h = words.hashes()
-        at = np.arange(len(self.strings)) * length
-        self.shift = np.full(1 << SHIFT_BITS, length - self.block + 1, np.int64)
-        blocks = block_keys(h, self.block)
-        for j in range(length - self.block + 1):
-            np.minimum.at(self.shift, blocks[at + j], length - self.block - j)
+        self.raw, begins, ends = joined(words)
         whole = window_hashes(h, length)[at]
-        self.by_suffix: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, (block, key) in enumerate(zip(blocks[at + length - self.block].tolist(), whole.tolist(), strict=True)):
-            self.by_suffix[block][key].append(k)
-        self.by_suffix = {k: dict(v) for k, v in self.by_suffix.items()}
-        self.whole = np.sort(whole)
+        order = np.lexsort((item, whole))
+        whole, at, item = whole[order], at[order], item[order]
+        self.bits = int(np.clip(math.ceil(math.log2(4 * length * len(at) + 1)), *SHIFT_BITS))
+        blocks = block_keys(h, self.block, self.bits)
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8)
+        for j in range(length - self.block + 1):
+            np.minimum.at(self.shift, blocks[at + j], np.uint8(length - self.block - j))
+        # patterns of equal text come once; those of equal hash and different text stay apart
+        texts = [self.raw[a:b] for a, b in zip(begins[at].tolist(), ends[at + length - 1].tolist(), strict=True)]
+        first: dict[bytes, int] = {}
+        which = np.fromiter((first.setdefault(t, len(first)) for t in texts), np.int64, len(texts))
+        lead = np.zeros(len(first), np.int64)
+        lead[which[::-1]] = np.arange(len(at))[::-1]
+        pairs = np.unique(np.stack([which, item], axis=1), axis=0)
+        self.items, self.first_item = pairs[:, 1].copy(), np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.begin, self.end = begins[at[lead]], ends[at[lead] + length - 1]
+        suffix = blocks[at[lead] + length - self.block].astype(U64)
+        key = bucket_keys(suffix, whole[lead], self.bits)
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def text(self, k: int) -> bytes:
+        return self.raw[self.begin[k] : self.end[k]]
 
     def find(self, words: Words, h: np.ndarray) -> Iterator[tuple[int, int]]:
         """(first word, pattern) of all occurrences that lie in one row."""
@@ -57,7 +74,7 @@ class Patterns:
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         at = np.repeat(starts, parts) + k * STRETCH
         end = np.minimum(at + STRETCH, np.repeat(words.first[1:] + 1, parts))
-        blocks, found = block_keys(h, self.block), []
+        blocks, found = block_keys(h, self.block, self.bits), []
         while len(at):
             move = self.shift[blocks[at - self.block]]
             found.append(at[move == 0])
@@ -65,68 +82,76 @@ class Patterns:
             left = at < end
             at, end = at[left], end[left]
         ends = np.sort(np.concatenate(found))
-        whole = window_hashes(h, m)[ends - m]
-        same = self.whole[np.minimum(np.searchsorted(self.whole, whole), len(self.whole) - 1)] == whole
-        for e, key in zip(ends[same].tolist(), whole[same].tolist(), strict=True):
-            text = None
-            for p in self.by_suffix.get(int(blocks[e - self.block]), {}).get(key, ()):
-                text = text or b" ".join(words.word(k) for k in range(e - m, e))
-                if text == self.strings[p]:
+        if not len(ends):
+            return
+        key = bucket_keys(blocks[ends - self.block].astype(U64), window_hashes(h, m)[ends - m], self.bits)
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        for e, a, b in zip(ends[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            text = b" ".join(words.word(k) for k in range(e - m, e))
+            for p in self.order[a:b].tolist():
+                if text == self.text(p):
                     yield e - m, p
 
 
-def block_keys(h: np.ndarray, block: int) -> np.ndarray:
-    return (window_hashes(h, block) >> U64(64 - SHIFT_BITS)).astype(np.int64)
+def block_keys(h: np.ndarray, block: int, bits: int) -> np.ndarray:
+    return (window_hashes(h, block) >> U64(64 - bits)).astype(np.int64)
+
+
+def bucket_keys(suffix: np.ndarray, whole: np.ndarray, bits: int) -> np.ndarray:
+    """The suffix block in the high bits, so buckets lie one after another, and the hash of the whole window below it."""
+    return suffix << U64(64 - bits) | whole >> U64(bits)
 
 
 def compile_items(items: list[tuple[int, str]], window: int = WINDOW) -> list[Patterns]:
-    by_length: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-        words = Words(data, np.array([0, len(data)]), ALPHANUMERIC)
-        own = [words.word(k) for k in range(len(words))]
-        size = min(window, len(own))
-        for k in range(len(own) - size + 1 if own else 0):
-            known = by_length[size][b" ".join(own[k : k + size])]
-            if item not in known[-1:]:
-                known.append(item)
-    return [Patterns(size, strings) for size, strings in sorted(by_length.items())]
-
-
-def _search(tables, last: bool):
+    """The patterns of all lengths; ids of items are numbers."""
+    texts = [t.encode() for _, t in items]
+    data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    words = Words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), ALPHANUMERIC)
+    h, ids, out = words.hashes(), np.array([i for i, _ in items], np.int64), []
+    size = np.minimum(window, words.counts)
+    for length in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == length)
+        many = words.counts[own] - length + 1
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(words.first[own], many)
+        out.append(Patterns(length, words, h, at, np.repeat(ids[own], many)))
+    return out
+
+
+def _search(sent, whole: bool):
+    """The words of each row that patterns cover, as bits; of all rows, or, if not whole, of those with any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = compile_items(tables.value)
         for batch in batches:
-            n = batch.num_rows
-            before, items = batch.column("hit").to_pylist(), [set(x or ()) for x in batch.column("items").to_pylist()]
-            n_words, n_hit, hit = np.zeros(n, np.int64), np.zeros(n, np.int64), [b""] * n
             for at, end, data, offs in text_chunks(batch.column("text")):
-                words = Words(LOWER[data], offs, ALPHANUMERIC)
-                h, edge = words.hashes(), np.zeros(len(words) + 1, np.int64)
-                for p in patterns:
+                words, n = Words(LOWER[data], offs, ALPHANUMERIC), end - at
+                h, edge, items = words.hashes(), np.zeros(len(words) + 1, np.int64), [set() for _ in range(n)]
+                for p in sent.value:
                     for first, k in p.find(words, h):
                         edge[first] += 1
                         edge[first + p.length] -= 1
-                        items[at + int(np.searchsorted(words.first, first, "right")) - 1].update(p.items[k])
+                        items[int(np.searchsorted(words.first, first, "right")) - 1].update(p.items[p.first_item[k] : p.first_item[k + 1]].tolist())
                 covered = np.cumsum(edge[:-1]) > 0
-                n_words[at:end] = words.counts
-                for r in np.flatnonzero([x is not None for x in before[at:end]]):
-                    lo, hi = words.first[r], words.first[r + 1]
-                    covered[lo:hi] |= np.unpackbits(np.frombuffer(before[at + r], np.uint8), count=hi - lo).astype(bool)
+                hit = [np.packbits(covered[lo:hi]).tobytes() if x else None for lo, hi, x in zip(words.first[:-1].tolist(), words.first[1:].tolist(), items, strict=True)]
                 total = np.concatenate([[0], np.cumsum(covered)])
-                n_hit[at:end] = total[words.first[1:]] - total[words.first[:-1]]
-                if not last:
-                    hit[at:end] = [np.packbits(covered[lo:hi]).tobytes() for lo, hi in zip(words.first[:-1], words.first[1:], strict=True)]
-            items = pa.array([sorted(x) for x in items], pa.list_(pa.int64()))
-            if last:
-                yield pa.record_batch([batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), items], ["doc_id", "n_words", "n_hit", "items"])
-            else:
-                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(hit, pa.binary()), items], ["doc_id", "text", "hit", "items"])
+                n_hit = total[words.first[1:]] - total[words.first[:-1]]
+                out = pa.record_batch([batch.column("doc_id")[at:end], batch.column("key")[at:end], pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array(hit, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], ["doc_id", "key", "n_words", "n_hit", "hit", "items"])
+                yield out if whole else out.filter(pa.compute.greater(out.column("n_hit"), 0))
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_hit over the bits that several blocks of items have covered."""
+    for batch in batches:
+        n_hit = batch.column("n_hit").to_pylist()
+        for k, (own, more) in enumerate(zip(batch.column("hit").to_pylist(), batch.column("more").to_pylist(), strict=True)):
+            if more:
+                bits = [np.frombuffer(x, np.uint8) for x in [*more, *([own] if own else [])]]
+                n_hit[k] = int(np.bitwise_count(reduce(np.bitwise_or, bits)).sum())
+        yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items")], ["doc_id", "n_words", "n_hit", "items"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 512 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, items, contaminated: which words of each document lie in benchmark passages.
 
     A-Z are lower-cased; words are runs of digits, a-z and characters outside ASCII. A passage is 13 consecutive words
@@ -134,23 +159,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     document is contaminated if at least one word and a twentieth of its words are hit. Null texts have no words; items
     without id still hit, but are not listed. Repeated rows are judged one by one. Extra columns are not read.
 
-    The items are sent to every executor. Their size is measured first: items over broadcast_bytes together are
-    searched for in blocks of about that size, with a durable cut between them (an item is never split).
+    The compiled items are sent to every executor. Their size is reckoned first, from the items' words: items over
+    broadcast_bytes together are searched for in blocks of about that size (an item is never split), each in its own
+    pass over the texts; what the later passes find is joined to the first one's rows by a digest of (doc_id, text).
     """
     ship(spark := docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").where("text is not null")
+    n_words = F.size(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(n_words * WORD_BYTES + F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / broadcast_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<bigint>").alias("items"))
-    for k in range(blocks):
-        own = [(-1 if r.item_id is None else r.item_id, r.text) for r in items.where(F.col("block") == k).collect()]
-        tables = spark.sparkContext.broadcast(own)
-        if k < blocks - 1:
-            out = durable(out.mapInArrow(_search(tables, False), "doc_id long, text string, hit binary, items array<bigint>"))
-        else:
-            out = out.mapInArrow(_search(tables, True), "doc_id long, n_words long, n_hit long, items array<bigint>")
-    out = out.withColumn("items", F.filter("items", lambda x: x >= 0))
+    key = F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), "text"), 256) if blocks > 1 else F.lit("")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
+    schema = "doc_id long, key string, n_words long, n_hit long, hit binary, items array<bigint>"
+    own = lambda k: spark.sparkContext.broadcast(compile_items([tuple(r) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]))
+    out = texts.mapInArrow(_search(own(0), True), schema)
+    if blocks > 1:
+        more = reduce(DataFrame.unionByName, [texts.mapInArrow(_search(own(k), False), schema).withColumn("block", F.lit(k)).dropDuplicates(["key", "block"]) for k in range(1, blocks)])
+        more = more.groupBy("key").agg(F.collect_list("hit").alias("more"), F.flatten(F.collect_list("items")).alias("found"))
+        out = out.join(more, "key", "left").withColumn("items", F.array_sort(F.array_union("items", F.coalesce("found", F.array().cast("array<bigint>")))))
+        out = out.select("doc_id", "n_words", "n_hit", "hit", "more", "items").mapInArrow(_united, "doc_id long, n_words long, n_hit long, items array<bigint>")
+    out = out.select("doc_id", "n_words", "n_hit", F.filter("items", lambda x: x >= 0).alias("items"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
