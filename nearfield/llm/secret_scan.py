@@ -96,7 +96,12 @@ def _quoted(pattern: str) -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of its texts replaced by mark, overlapping spans by one; n_chars, if there, follows."""
+    """docs with every span of its texts replaced by mark, overlapping spans by one; n_chars, if there, follows.
+
+    All other columns pass unchanged, one named spans too. A null text stays null.
+    """
+    if "spans" in docs.columns:
+        return redact(docs.withColumnRenamed("spans", "spans__own"), mark).withColumnRenamed("spans__own", "spans")
     begin = "named_struct('at', 0, 'out', '')"
     step = f"named_struct('at', greatest(acc.at, x.end), 'out', if(x.start < acc.at, acc.out, concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), {_quoted(mark)})))"
     fold = f"aggregate(spans, {begin}, (acc, x) -> {step}, acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))"

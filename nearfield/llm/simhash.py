@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash (op7): fingerprints, BK-trees over shards of them, connected components.
 
-The 64 bits are cut into six blocks. Fingerprints at most four bits apart differ in at most four blocks, so they agree
-in two: each of the 15 pairs of blocks deals the distinct fingerprints into shards, and no link is outside all shards. Each shard has a BK-tree: the
+Within a radius of r bits, the 64 bits are cut into r + 2 blocks. Fingerprints that differ in at most r bits differ in at most r blocks, so they agree
+in two: each pair of blocks (15 for radius 4) deals the distinct fingerprints into shards, and no link is outside all shards. Each shard has a BK-tree: the
 children of a node are keyed by their Hamming distance to it, and a search follows only the keys within the radius of
 its own distance. The trees stay with the executors that build them: they hold every fingerprint, which is too much to
 send to all. All trees of a batch of shards are built and searched side by side, level by level. Of a shard only links that span
@@ -21,37 +21,46 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.cluster import durable, ship
 from nearfield.llm.components import components
-from nearfield.llm.wordscan import LOWER, U64, text_chunks
+from nearfield.llm.wordscan import LOWER, U64, mix, text_chunks
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: (lowest bit, bits) of each block
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 FRONTIER = 1 << 20
+#: Keys that hold more than this share of the rows are joined by broadcast: there are fewer than its inverse of them
+HOT = 1 / 1000
 
 
-def fingerprint(text: bytes) -> int:
-    """The SimHash of a lower-cased text; zero without words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, second: bool = False) -> int | tuple[int, int]:
+    """The SimHash of a lower-cased text; zero without words. With second also that of the same shingles' mixed hashes."""
     words = text.split()
     if not words:
-        return 0
+        return (0, 0) if second else 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    size = min(SHINGLE, len(words))
+    size = min(shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
     hashed = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)), U64, len(starts))
+    return (_majority(hashed), _majority(mix(hashed))) if second else _majority(hashed)
+
+
+def _majority(hashed: np.ndarray) -> int:
     ones = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashed), bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for at, end, data, offs in text_chunks(batch.column(1)):
-            low = LOWER[data].tobytes()
-            out += [fingerprint(low[offs[k] : offs[k + 1]]) for k in range(end - at)]
-        yield pa.record_batch([batch.column(0), pa.array(np.array(out, U64).view(np.int64))], ["doc_id", "fp"])
+def _fingerprints(shingle: int, confirm: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, end, data, offs in text_chunks(batch.column(1)):
+                low = LOWER[data].tobytes()
+                out += [fingerprint(low[offs[k] : offs[k + 1]], shingle, confirm) for k in range(end - at)]
+            both = np.array(out, U64).reshape(len(out), 1 + confirm)
+            other = both[:, -1] if confirm else np.zeros(len(out), U64)
+            yield pa.record_batch([batch.column(0), pa.array(both[:, 0].copy().view(np.int64)), pa.array(other.copy().view(np.int64))], ["doc_id", "fp", "other"])
+
+    return run
 
 
 def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +80,11 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return parent, key
 
 
-def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) that join all rows of a shard within the radius, each a once and b the first of its group."""
+def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, other: np.ndarray | None = None, confirm: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) that join all rows of a shard within the radius, each a once and b the first of its group.
+
+    With other fingerprints, links must also be within `confirm` bits of those.
+    """
     n = len(fp)
     parent, key = bk_forest(shard, fp)
     kids = np.flatnonzero(parent >= 0)
@@ -92,6 +104,8 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tupl
                 continue
             distance = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
             near = (distance <= radius) & (node < q)
+            if other is not None:
+                near[near] = np.bitwise_count(other[q[near]] ^ other[node[near]]) <= confirm
             if near.any():
                 left.append((q[near], node[near]))
             a = np.searchsorted(slots, node * 65 + np.maximum(distance - radius, 0))
@@ -122,23 +136,27 @@ def _merge(label: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.
             label = label[label]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(radius: int, confirm: int | None):
     """Rows come sorted by shard; a shard cut by the end of a batch waits for its rest."""
-    kept_s, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in _with_end(batches):
-        if batch is not None:
-            s, f = (np.concatenate([k, batch.column(c).to_numpy()]) for k, c in ((kept_s, 0), (kept_f, 1)))
-            cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
-            kept_s, kept_f, s, f = s[cut:], f[cut:], s[:cut], f[:cut]
-        else:
-            s, f = kept_s, kept_f
-        if len(s) > 1:
-            many = np.zeros(len(s), bool)  # shards of one have no links
-            many[1:] |= s[1:] == s[:-1]
-            many[:-1] |= s[1:] == s[:-1]
-            s, f = s[many], f[many]
-            a, b = shard_links(s, f.view(U64))
-            yield pa.record_batch([pa.array(f[a]), pa.array(f[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3
+        for batch in _with_end(batches):
+            rows = kept
+            if batch is not None:
+                rows = [np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+                kept, rows = [x[cut:] for x in rows], [x[:cut] for x in rows]
+            shard, fp, other = rows
+            if len(shard) > 1:
+                many = np.zeros(len(shard), bool)  # shards of one have no links
+                many[1:] |= shard[1:] == shard[:-1]
+                many[:-1] |= shard[1:] == shard[:-1]
+                shard, fp, other = shard[many], fp[many], other[many]
+                a, b = shard_links(shard, fp.view(U64), radius, *((other.view(U64), confirm) if confirm is not None else ()))
+                yield pa.record_batch([pa.array(fp[a]), pa.array(other[a]), pa.array(fp[b]), pa.array(other[b])], ["fp", "other", "fp_b", "other_b"])
+
+    return run
 
 
 def _with_end(batches):
@@ -146,28 +164,63 @@ def _with_end(batches):
     yield None
 
 
-def shard_keys(fp: str = "fp") -> F.Column:
-    """The 15 shards of a fingerprint: the pair of blocks and what they hold, in one number."""
-    block = [f"(shiftrightunsigned({fp}, {low}) & {(1 << bits) - 1}L)" for low, bits in BLOCKS]
-    return F.expr("array(" + ", ".join(f"{k}L << 22 | {block[i]} << 11 | {block[j]}" for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))) + ")")
+def blocks_of(count: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of so many blocks of the 64 bits, the longer ones first."""
+    sizes = [64 // count + (k < 64 % count) for k in range(count)]
+    return [(sum(sizes[:k]), size) for k, size in enumerate(sizes)]
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
+def shard_keys(fp: str = "fp", radius: int = RADIUS) -> F.Column:
+    """The shards of a fingerprint: each pair of blocks and what they hold, in one number."""
+    blocks = blocks_of(radius + 2)
+    wide = blocks[0][1]
+    block = [f"(shiftrightunsigned({fp}, {low}) & {(1 << bits) - 1}L)" for low, bits in blocks]
+    return F.expr("array(" + ", ".join(f"{k}L << {2 * wide} | {block[i]} << {wide} | {block[j]}" for k, (i, j) in enumerate(combinations(range(len(blocks)), 2))) + ")")
+
+
+def _joined(rows: DataFrame, named: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows with the columns of named, which has each key once; the few keys of hot are joined by broadcast, so no task gets all their rows."""
+    few = F.broadcast(hot.select(*keys).withColumn("hot__", F.lit(True)))
+    told = rows.join(few, keys, "left")
+    hot_named = F.broadcast(named.join(few, keys, "left_semi"))
+    cold = told.where("hot__ is null").drop("hot__").join(named, keys)
+    return cold.unionByName(told.where("hot__").drop("hot__").join(hot_named, keys))
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, confirm: int | None = None) -> DataFrame:
     """doc_id, fp, component_id: the 64-bit fingerprint of each document and the smallest doc_id it is linked to.
 
-    Texts are lower-cased (A-Z); shingles are 4 consecutive words [^\\x20\\x09-\\x0D]+, repeats included, or the whole
+    Texts are lower-cased (A-Z); shingles are `shingle` consecutive words [^\\x20\\x09-\\x0D]+, repeats included, or the whole
     sequence if there are fewer. A null or wordless text has fingerprint zero and is linked like any other. Documents
-    link at 4 differing bits or fewer, and through others. A row without doc_id gets a fingerprint and the id of its
+    link at `radius` differing bits or fewer, and through others; with confirm, a second fingerprint of the same shingles
+    must also differ in no more bits than that. A row without doc_id gets a fingerprint and the id of its
     group (null if no other row of it has one). Repeated rows fall into one group. Extra columns are not read.
+
+    Fingerprints and groups that hold over a thousandth of the rows, fewer than a thousand each, are joined by
+    broadcast. A shard is searched in one task: the wider the radius and the more rows there are, the larger the shards.
     """
     ship(docs.sparkSession)
-    prints = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    dealt = distinct.select(F.explode(shard_keys()).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    groups = components(dealt.mapInArrow(_shards, "a long, b long"))
-    named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle, confirm is not None), "doc_id long, fp long, other long")
+    prints = durable(found)
+    distinct = durable(prints.groupBy("fp", "other").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    rows, kinds = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    dealt = distinct.select(F.explode(shard_keys("fp", radius)).alias("shard"), "fp", "other").repartition("shard").sortWithinPartitions("shard", "fp", "other")
+    links = dealt.mapInArrow(_shards(radius, confirm), "fp long, other long, fp_b long, other_b long")
+    # a node is a number: the fingerprint, or a hash of both; should two hashes meet, their groups become one
+    node = (lambda a, b: F.col(a)) if confirm is None else (lambda a, b: F.xxhash64(a, b))
+    groups = components(links.select(node("fp", "other").alias("a"), node("fp_b", "other_b").alias("b")))
+    named = distinct.withColumn("node", node("fp", "other")).join(groups, "node", "left")
+    alone = named.where("root is null and node is not null").select("fp", "other", "least", F.col("node").alias("root"))
+    linked = named.where("root is not null").select("fp", "other", "least", "root")
+    # the root of a group has no row of its own in groups
+    roots = groups.select(F.col("root").alias("node")).distinct()
+    alone = alone.join(roots, alone.root == roots.node, "left").withColumn("linked", F.col("node").isNotNull()).drop("node")
+    linked = linked.unionByName(alone.where("linked").drop("linked"))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    together = _joined(linked, ids.select("root", "component_id"), ["root"], ids.where(F.col("m") > max(1, kinds * HOT)))
+    named = durable(together.select("fp", "other", "component_id").unionByName(alone.where("not linked").select("fp", "other", F.col("least").alias("component_id"))))
+    hot = distinct.where(F.col("n") > max(1, rows * HOT))
+    return _joined(prints, named, ["fp", "other"], hot).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,12 @@ def test_redaction_keeps_the_rest(make_docs):
 
 def test_no_rows(make_docs):
     assert M.secret_spans(make_docs([])).collect() == []
+
+
+def test_redact_leaves_other_columns_alone(make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs(["token = abcdef123456 and more", None, "plain"]).withColumn("spans", F.lit("mine"))
+    got = M.redact(docs).orderBy("doc_id").collect()
+    assert list(got[0].asDict()) == docs.columns and {(r.spans, r.score) for r in got} == {("mine", "extra")}
+    assert [(r.text, r.n_chars) for r in got] == [("[secret] and more", 17), (None, None), ("plain", 5)]

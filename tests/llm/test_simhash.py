@@ -67,3 +67,28 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert all(got[k] == 0 for k in range(1, 201)) and got[1001] == 1000
+
+
+def test_wider_radius_and_second_fingerprints_against_plain_version(make_docs, corpus):
+    import itertools
+
+    rng = random.Random(6)
+    base = [corpus[16].split()[k * 150 : k * 150 + 150] for k in range(12)]
+    texts = [" ".join("new" + str(rng.random()) if rng.random() < share else w for w in b) for b in base for share in (0, 0.01, 0.02, 0.03, 0.04)] + ["", None]
+    for radius, confirm in ((6, None), (6, 16), (8, 12)):
+        two = [M.fingerprint((t or "").lower().encode(), 5, True) for t in texts]
+        group = list(range(len(texts)))
+        for _ in texts:
+            for i, j in itertools.combinations(range(len(texts)), 2):
+                if (two[i][0] ^ two[j][0]).bit_count() <= radius and (confirm is None or (two[i][1] ^ two[j][1]).bit_count() <= confirm):
+                    group[i] = group[j] = min(group[i], group[j])
+        got = {r.doc_id: r.component_id for r in M.simhash_groups(make_docs(texts), 5, radius, confirm).collect()}
+        assert [got[k] for k in range(len(texts))] == group
+    assert len(set(group)) < len(texts) - 20 and two[0][0] != two[0][1]
+    assert M.blocks_of(6) == [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)] and sum(n for _, n in M.blocks_of(10)) == 64
+
+
+def test_large_groups_of_copies(make_docs, corpus):
+    texts = [corpus[2]] * 300 + [corpus[3], ""] * 40 + corpus[16].split()[:200]
+    got = {r.doc_id: r.component_id for r in M.simhash_groups(make_docs(texts)).collect()}
+    assert len(got) == len(texts) and {got[k] for k in range(300)} == {0} and got[301] == got[379] == 301
