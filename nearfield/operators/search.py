@@ -1,10 +1,13 @@
 """Exact nearest neighbours: one logical operator, several physical strategies with the same rows.
 
+blocked    matrix products over blocks of rows find candidates for a running top k of each query, one list a task
 window     scores in the JVM against the broadcast queries, then ranks; Spark keeps k rows a partition before the shuffle
 full_sort  the same without that early cut
-heap       a bounded heap for each query in every partition, then ranks
-blocked    matrix products over Arrow batches find candidates, which are scored again coordinate by coordinate
-pivot      triangle inequality: rows whose distance to a pivot rules them out are not scored (distances only)
+heap       like blocked, with a bounded heap for each query
+pivot      like blocked, but rows whose distance to a pivot rules them out are not scored (distances only)
+
+Candidates of matrix products are those that rounding could let into the top k, by bounds for each row; they are scored
+again coordinate by coordinate.
 
 Scores are summed from the first coordinate to the last in doubles by all of them, so results agree bit by bit.
 """
@@ -14,9 +17,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,14 +61,26 @@ def lengthen(wide: DataFrame) -> DataFrame:
     return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.indices").alias("id"), F.col("x.scores").alias("score"))
 
 
-def score_matrix(corpus: DataFrame, queries: DataFrame, objective: Objective | str) -> DataFrame:
-    """(query_id, id, score) of all pairs; queries (query_id, vector) are few and broadcast."""
+def in_blocks(queries: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """queries (query_id, vector), as frames of about QUERY_BYTES at most; size, their bytes, is measured unless given."""
+    if size is None:
+        size = 8 * (queries.agg(F.sum(F.size("vector"))).first()[0] or 0)
+    blocks = max(1, -(-size // QUERY_BYTES))
+    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _scored(corpus: DataFrame, queries: DataFrame, objective: Objective | str) -> DataFrame:
     pairs = corpus.select("id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
     return pairs.select("query_id", "id", score(objective, F.col("vector"), F.col("q")).alias("score"))
 
 
+def score_matrix(corpus: DataFrame, queries: DataFrame, objective: Objective | str) -> DataFrame:
+    """(query_id, id, score) of all pairs; queries (query_id, vector) are broadcast, in blocks of measured size."""
+    return reduce(DataFrame.unionByName, [_scored(corpus, part, objective) for part in in_blocks(queries)])
+
+
 def exact_scores(rows: np.ndarray, query: np.ndarray, objective: Objective) -> np.ndarray:
-    """Scores of rows against a query, each a running sum over the coordinates."""
+    """Scores of rows against a query, or row by row against queries, each a running sum over the coordinates."""
     terms = (rows - query) ** 2 if objective is Objective.SQUARED_L2 else rows * query
     total = np.cumsum(terms, axis=1)[:, -1]
     return (-total if objective is Objective.SQUARED_L2 else total) + 0.0
@@ -73,7 +88,48 @@ def exact_scores(rows: np.ndarray, query: np.ndarray, objective: Objective) -> n
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), flat.size // max(len(column), 1))
+
+
+class RunningTop:
+    """The k best of all rows offered so far for each query; exact scores, ties to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int, objective: Objective):
+        self.queries, self.k, self.objective = queries, k, objective
+        self.squares = (queries * queries).sum(axis=1)
+        self.rounding = 4 * (queries.shape[1] + 8) * np.finfo(np.float64).eps
+        self.least = np.full(len(queries), -np.inf)  # of the k-th best, once there are k
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def candidates(self, rows: np.ndarray, squares: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, exact score) of all pairs that may be among the k best."""
+        scores = self.queries[which] @ rows.T
+        if self.objective is Objective.SQUARED_L2:
+            scores = 2 * scores - squares - self.squares[which][:, None]
+        room = self.rounding * (np.sqrt(self.squares[which].max(initial=0)) + np.sqrt(squares)) ** 2
+        bound = self.least[which].copy()
+        new = np.flatnonzero(bound == -np.inf)
+        if len(new) and self.k <= len(rows):
+            bound[new] = np.partition(scores[new] - room, len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+        q, r = np.nonzero(scores + room >= bound[:, None])
+        exact = np.empty(len(q))
+        for at in range(0, len(q), 1 << 14):
+            exact[at : at + (1 << 14)] = exact_scores(rows[r[at : at + (1 << 14)]], self.queries[which[q[at : at + (1 << 14)]]], self.objective)
+        return which[q], r, exact
+
+    def offer(self, ids: np.ndarray, rows: np.ndarray, squares: np.ndarray, which: np.ndarray | None = None) -> None:
+        which = np.arange(len(self.queries)) if which is None else which
+        if not len(rows) or not len(which):
+            return
+        q, r, exact = self.candidates(rows, squares, which)
+        query, id_, score_ = np.concatenate([self.query, q]), np.concatenate([self.id, ids[r]]), np.concatenate([self.score, exact])
+        order = np.lexsort((id_, -score_, query))
+        query = query[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.query, self.id, self.score = query[kept], id_[order][kept], score_[order][kept]
+        last = np.searchsorted(self.query, np.arange(len(self.queries)), "right") - 1
+        full = np.bincount(self.query, minlength=len(self.queries)) == self.k
+        self.least[full] = self.score[last[full]]
 
 
 @dataclass(frozen=True)
@@ -87,10 +143,11 @@ class PreparedQueries:
 
 
 def prepare_queries(queries: DataFrame, *, objective: Objective | str = Objective.NORMALIZED_COSINE, query_id: str = "query_id", vector: str = "vector", owner: object = None) -> PreparedQueries:
+    """Nothing is kept in memory; persist the frame of queries that are dear to compute and searched often."""
     resolved = resolve_objective(objective)
     if not isinstance(queries, DataFrame):
         validate_vectors(queries, name="queries")
-    own = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("vector")).persist()
+    own = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
     shape = validate_vectors(own, name="queries", unit_rows=resolved.requires_unit_rows, key="query_id")
     return PreparedQueries(own, resolved, shape, owner)
 
@@ -98,16 +155,17 @@ def prepare_queries(queries: DataFrame, *, objective: Objective | str = Objectiv
 class ExactIndex:
     """A validated corpus (id, vector) and its objective.
 
-    persist keeps the rows in executor memory and on their disks, so later changes of the files aren't seen.
+    persist keeps the rows and their squared norms in executor memory and on their disks, so later changes of the files
+    aren't seen; release gives them back.
     """
 
-    def __init__(self, corpus: DataFrame, objective: Objective | str = Objective.NORMALIZED_COSINE, *, id: str = "id", vector: str = "vector", persist: bool = False, block_size: int = 16_384, pivots: int = 16):
+    def __init__(self, corpus: DataFrame, objective: Objective | str = Objective.NORMALIZED_COSINE, *, id: str = "id", vector: str = "vector", persist: bool = False, block_size: int = 16_384, query_block: int = 1024, pivots: int = 16):
         self._objective = resolve_objective(objective)
         if not isinstance(corpus, DataFrame):
             validate_vectors(corpus, name="corpus")
         own = corpus.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
-        self._corpus = own.persist() if persist else own
-        self._block_size, self._pivots = positive_int(block_size, "block_size"), positive_int(pivots, "pivots")
+        self._corpus = own.withColumn("sq_norm", squared_norm(F.col("vector"))).persist() if persist else own
+        self._block_size, self._query_block, self._pivots = positive_int(block_size, "block_size"), positive_int(query_block, "query_block"), positive_int(pivots, "pivots")
         self._shape = validate_vectors(self._corpus, name="corpus", unit_rows=self._objective.requires_unit_rows, key="id")
 
     @property
@@ -130,20 +188,39 @@ class ExactIndex:
     def block_size(self) -> int:
         return self._block_size
 
+    @property
+    def query_block(self) -> int:
+        return self._query_block
+
     @property
     def pivots(self) -> int:
         return self._pivots
 
+    @cached_property
+    def pivot_rows(self) -> np.ndarray:
+        """Rows that lie far apart, chosen once: of a thousand rows by hash of id, each the farthest from those before."""
+        some = np.array([r.vector for r in self._corpus.orderBy(F.xxhash64("id"), "id").limit(1024).collect()], np.float64)
+        chosen, far = [0], ((some - some[0]) ** 2).sum(axis=1)
+        while len(chosen) < self._pivots and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((some - some[chosen[-1]]) ** 2).sum(axis=1))
+        return some[chosen]
+
+    def release(self) -> None:
+        self._corpus.unpersist()
+
     def prepare_queries(self, queries: DataFrame, query_id: str = "query_id", vector: str = "vector") -> PreparedQueries:
         return prepare_queries(queries, objective=self._objective, query_id=query_id, vector=vector, owner=self)
 
-    def search(self, queries: DataFrame, k: int, strategy: str = "window") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, strategy: str = "blocked") -> DataFrame:
         """(query_id, rank, id, score): the k best rows of each query."""
         return self.search_prepared(self.prepare_queries(queries), k, strategy)
 
-    def search_prepared(self, queries: PreparedQueries, k: int, strategy: str = "window") -> DataFrame:
+    def search_prepared(self, queries: PreparedQueries, k: int, strategy: str = "blocked") -> DataFrame:
         if not isinstance(queries, PreparedQueries):
             raise InvalidVectors("queries must be PreparedQueries")
+        if queries.owner is not None and queries.owner is not self:
+            raise InvalidVectors("queries were prepared by another index")
         if queries.objective is not self._objective:
             raise InvalidVectors(f"query objective {queries.objective} differs from {self._objective}")
         if queries.shape.dimension != self.dimension:
@@ -156,25 +233,18 @@ class ExactIndex:
         run, objectives = STRATEGIES[strategy]
         if self._objective not in objectives:
             raise UnsupportedObjective(f"{strategy} does not support {self._objective}; it supports only " + ", ".join(objectives))
-        size = queries.shape.size * queries.shape.dimension * 8
-        blocks = -(-size // QUERY_BYTES)
-        if blocks == 1:
-            return run(self, queries.frame, k)
-        dealt = [queries.frame.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-        out = run(self, dealt[0], k)
-        for part in dealt[1:]:
-            out = out.unionByName(run(self, part, k))
-        return out
+        parts = in_blocks(queries.frame, 8 * queries.shape.size * queries.shape.dimension)
+        return reduce(DataFrame.unionByName, [run(self, part, k) for part in parts])
 
 
 def _window(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
-    return rank(score_matrix(index._corpus, queries, index.objective), k)
+    return rank(_scored(index._corpus, queries, index.objective), k)
 
 
 def _full_sort(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
     # a filter on the rank of another column's alias isn't turned into an early cut
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = score_matrix(index._corpus, queries, index.objective).withColumn("rank", F.row_number().over(order))
+    ranked = _scored(index._corpus, queries, index.objective).withColumn("rank", F.row_number().over(order))
     return ranked.withColumn("n", F.count("*").over(W.partitionBy("query_id"))).where((F.col("rank") <= k) & (F.col("n") > 0)).select("query_id", "rank", "id", "score")
 
 
@@ -190,93 +260,128 @@ def _merged(candidates: DataFrame, k: int) -> DataFrame:
     return rank(thinned.select("query_id", "id", "score"), k)
 
 
-def _heap(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
-    ids, vectors = _collected(queries)
-    sent, objective = index._corpus.sparkSession.sparkContext.broadcast((ids, vectors)), index.objective
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, rows, squared norms) of about size rows each, whatever the batches have."""
+    held: list[pa.RecordBatch] = []
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, wanted = sent.value
-        heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
-        for frame in frames:
-            if not len(frame):
-                continue
-            rows = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-            names = (-frame["id"].to_numpy()).tolist()
-            for heap, query in zip(heaps, wanted, strict=True):
-                for item in zip(exact_scores(rows, query, objective).tolist(), names, strict=True):
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-        out = [(q, -name, value) for q, heap in zip(query_ids.tolist(), heaps, strict=True) for value, name in heap]
-        yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    return _merged(index._corpus.mapInPandas(run, _CANDIDATES), k)
+    def joined() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        for part in table.to_batches(size):
+            rows = _matrix(part.column("vector"))
+            yield part.column("id").to_numpy(), rows, part.column("sq_norm").to_numpy() if "sq_norm" in part.schema.names else (rows * rows).sum(axis=1)
 
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= size:
+            yield from joined()
+    if sum(x.num_rows for x in held):
+        yield from joined()
 
-def _blocked(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
+
+def _in_tasks(index: ExactIndex, queries: DataFrame, k: int, search: Callable[[RunningTop, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], None], make: type[RunningTop] = RunningTop) -> DataFrame:
+    """Each task offers its rows, block by block, and sends at most k rows a query."""
     ids, vectors = _collected(queries)
     sent, objective, block = index._corpus.sparkSession.sparkContext.broadcast((ids, vectors)), index.objective, index.block_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, wanted = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                names, rows = part.column(0).to_numpy(), _matrix(part.column(1))
-                scores = wanted @ rows.T
-                slack = 1e-9 * (1 + np.abs(rows).max(initial=0) * np.abs(wanted).max(initial=0) * rows.shape[1])
-                if objective is Objective.SQUARED_L2:
-                    scores = 2 * scores - (rows * rows).sum(axis=1) - (wanted * wanted).sum(axis=1)[:, None]
-                    slack += 1e-9 * ((rows * rows).sum(axis=1).max(initial=0) + (wanted * wanted).sum(axis=1).max(initial=0))
-                own = min(k, len(names))
-                least = np.partition(scores, len(names) - own, axis=1)[:, len(names) - own]
-                q, r = np.nonzero(scores >= least[:, None] - slack)
-                exact = np.empty(len(q))
-                for n in np.unique(q):  # near ties are told apart by the same sums as in the other strategies
-                    exact[q == n] = exact_scores(rows[r[q == n]], wanted[n], objective)
-                order = np.lexsort((names[r], -exact, q))
-                q, r, exact = q[order], r[order], exact[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                q, r, exact = q[place < own], r[place < own], exact[place < own]
-                yield pa.record_batch([pa.array(query_ids[q]), pa.array(names[r]), pa.array(exact)], ["query_id", "id", "score"])
-
-    return _merged(index._corpus.select("id", "vector").mapInArrow(run, _CANDIDATES), k)
+        top = make(wanted, k, objective)
+        if len(wanted):
+            search(top, _blocks(batches, block))
+        yield pa.record_batch([pa.array(query_ids[top.query]), pa.array(top.id), pa.array(top.score)], ["query_id", "id", "score"])
+
+    return _merged(index._corpus.mapInArrow(run, _CANDIDATES), k)
+
+
+def _blocked(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
+    query_block = index.query_block
+
+    def search(top: RunningTop, blocks: Iterator) -> None:
+        for ids, rows, squares in blocks:
+            for at in range(0, len(top.queries), query_block):
+                top.offer(ids, rows, squares, np.arange(at, min(at + query_block, len(top.queries))))
+
+    return _in_tasks(index, queries, k, search)
+
+
+class _Heaps(RunningTop):
+    """The same with a heap of (score, -id) for each query; only candidates are pushed."""
+
+    def __init__(self, queries: np.ndarray, k: int, objective: Objective):
+        super().__init__(queries, k, objective)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in queries]
+
+    def offer(self, ids: np.ndarray, rows: np.ndarray, squares: np.ndarray, which: np.ndarray | None = None) -> None:
+        q, r, exact = self.candidates(rows, squares, np.arange(len(self.queries)))
+        for query, item in zip(q.tolist(), zip(exact.tolist(), (-ids[r]).tolist(), strict=True), strict=True):
+            heap = self.heaps[query]
+            if len(heap) < self.k:
+                heapq.heappush(heap, item)
+            elif item > heap[0]:
+                heapq.heapreplace(heap, item)
+        self.least = np.array([heap[0][0] if len(heap) == self.k else -np.inf for heap in self.heaps])
+
+    def close(self) -> None:
+        out = [(q, -name, value) for q, heap in enumerate(self.heaps) for value, name in heap]
+        self.query, self.id, self.score = (np.array([x[c] for x in out], kind) for c, kind in enumerate((np.int64, np.int64, np.float64)))
+
+
+def _heap(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
+    def search(top: RunningTop, blocks: Iterator) -> None:
+        for block in blocks:
+            top.offer(*block)
+        top.close()
+
+    return _in_tasks(index, queries, k, search, _Heaps)
 
 
 def _pivot(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
-    pivots = [r.vector for r in index._corpus.orderBy("id").limit(index.pivots).collect()]
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in pivots])
-    far = lambda v: F.transform(listed, lambda p: F.sqrt(squared_distance(v, p)))
-    dealt = index._corpus.withColumn("far", far(F.col("vector"))).withColumn("r", F.array_min("far")).withColumn("near", F.array_position("far", F.col("r")).cast("int")).drop("far")
-    counts = {r.near: r.n for r in dealt.groupBy("near").agg(F.count("*").alias("n")).collect()}
-    largest = index._corpus.agg(F.max(squared_norm(F.col("vector")))).first()[0]
-    sizes = F.array(*[F.lit(counts.get(p + 1, 0)) for p in range(len(pivots))])
-    told = queries.select("query_id", F.col("vector").alias("q"), far(F.col("vector")).alias("d"))
-    by_distance = F.array_sort(F.transform("d", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("p"))))
-    told = told.withColumn("order", F.transform(by_distance, lambda s: s["p"])).withColumn("sizes", sizes)
-    # the nearest buckets that hold k rows between them give an upper bound of the k-th distance
-    first = "filter(order, (p, i) -> aggregate(slice(order, 1, i), 0, (a, o) -> a + sizes[o - 1]) < {k})".format(k=k)
-    some = F.broadcast(told.select("query_id", "q", F.explode(F.expr(first)).alias("near")))
-    scored = dealt.join(some, "near").select("query_id", "id", score(index.objective, F.col("vector"), F.col("q")).alias("score"))
-    bound = rank(scored, k).groupBy("query_id").agg(F.min("score").alias("s"))
-    if index.objective is Objective.SQUARED_L2:
-        reach = F.sqrt(-F.col("s"))
-    else:  # |c - q|^2 = |c|^2 + |q|^2 - 2 c.q, with the largest |c|
-        reach = F.sqrt(F.greatest(F.lit(largest) + squared_norm(F.col("q")) - 2 * F.col("s"), F.lit(0.0)))
-    bounded = told.join(bound, "query_id").withColumn("reach", reach * (1 + 1e-9) + 1e-9).select("query_id", "q", "d", "reach")
-    left = dealt.crossJoin(F.broadcast(bounded)).where(F.abs(F.expr("d[near - 1]") - F.col("r")) <= F.col("reach"))
-    return rank(left.select("query_id", "id", score(index.objective, F.col("vector"), F.col("q")).alias("score")), k)
+    sent = index._corpus.sparkSession.sparkContext.broadcast(index.pivot_rows)
+
+    def search(top: RunningTop, blocks: Iterator) -> None:
+        pivots = sent.value
+        own = (pivots * pivots).sum(axis=1)
+        apart = lambda rows, squares: np.sqrt(np.maximum(squares[:, None] + own - 2 * rows @ pivots.T, 0))
+        asked, everyone = apart(top.queries, top.squares), np.arange(len(top.queries))
+        for ids, rows, squares in blocks:
+            far = apart(rows, squares)
+            near = far.argmin(axis=1)
+            order = np.lexsort((far[np.arange(len(rows)), near], near))
+            ids, rows, squares, near = ids[order], rows[order], squares[order], near[order]
+            ring = far[order, near]
+            first = np.searchsorted(near, np.arange(len(pivots) + 1))
+            some = np.flatnonzero(np.diff(first))
+            room = 2 * np.sqrt(top.rounding) * (np.sqrt(top.squares) + np.sqrt(squares.max()) + np.sqrt(own.max()))
+            nearest = some[asked[:, some].argmin(axis=1)]
+            for turn in (0, 1):  # each query's nearest bucket first: what it holds rules others out
+                for b in some.tolist():
+                    which = everyone[(nearest == b) == (turn == 0)]
+                    reach = _reach(top, which, squares.max()) + room[which]
+                    d, lo, hi = asked[which, b], first[b], first[b + 1]
+                    fit = (d - reach <= ring[hi - 1]) & (d + reach >= ring[lo])
+                    if not fit.any():
+                        continue
+                    a = lo + np.searchsorted(ring[lo:hi], (d - reach)[fit].min())
+                    z = lo + np.searchsorted(ring[lo:hi], (d + reach)[fit].max(), "right")
+                    top.offer(ids[a:z], rows[a:z], squares[a:z], which[fit])
+
+    return _in_tasks(index, queries, k, search)
+
+
+def _reach(top: RunningTop, which: np.ndarray, largest: float) -> np.ndarray:
+    """How far from each query a row may be and still be among its k best."""
+    if top.objective is Objective.SQUARED_L2:
+        return np.sqrt(-top.least[which])
+    return np.sqrt(np.maximum(largest + top.squares[which] - 2 * top.least[which], 0))  # |c - q|^2 = |c|^2 + |q|^2 - 2 c.q
 
 
 _ALL = tuple(Objective)
 _DISTANCES = (Objective.SQUARED_L2, Objective.NORMALIZED_COSINE)
 STRATEGIES: dict[str, tuple[Callable[[ExactIndex, DataFrame, int], DataFrame], tuple[Objective, ...]]] = {
+    "blocked": (_blocked, _ALL),
     "window": (_window, _ALL),
     "full_sort": (_full_sort, _ALL),
     "heap": (_heap, _ALL),
-    "blocked": (_blocked, _ALL),
     "pivot": (_pivot, _DISTANCES),
 }
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from nearfield.errors import InvalidParameter, InvalidVectors
 from nearfield.functions.vectors import as_doubles, norm
 from nearfield.objectives import Objective
-from nearfield.operators.search import ExactIndex, rank
+from nearfield.operators.search import ExactIndex, in_blocks, rank
 from nearfield.operators.validate import positive_int
 
 # Fixed values
@@ -36,8 +37,9 @@ def trusted_search(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
             return pd.Series([-math.fsum((x - y) ** 2 for x, y in zip(a, b, strict=True)) + 0.0 for a, b in pairs], dtype=float)
         return pd.Series([math.fsum(x * y for x, y in zip(a, b, strict=True)) + 0.0 for a, b in pairs], dtype=float)
 
-    pairs = index._corpus.crossJoin(F.broadcast(prepared.frame.withColumnRenamed("vector", "q")))
-    return rank(pairs.select("query_id", "id", value("vector", "q").alias("score")), k)
+    parts = in_blocks(prepared.frame, 8 * prepared.shape.size * prepared.shape.dimension)
+    pairs = [index._corpus.crossJoin(F.broadcast(part.withColumnRenamed("vector", "q"))) for part in parts]
+    return reduce(DataFrame.unionByName, [rank(p.select("query_id", "id", value("vector", "q").alias("score")), k) for p in pairs])
 
 
 def renormalized(v: Column) -> Column:
@@ -46,13 +48,13 @@ def renormalized(v: Column) -> Column:
 
 
 def blocked_search(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Matrix products in doubles over blocks of corpus rows; unit rows are made exactly so first."""
+    """Matrix products in doubles over blocks of 64 queries and 8,192 corpus rows; unit rows are made exactly so first."""
     frames = [index._corpus, queries]
     if index.objective.requires_unit_rows:
         frames = [f.withColumn("vector", renormalized(F.col("vector"))) for f in frames]
     else:
         frames = [f.withColumn("vector", as_doubles(F.col("vector"))) for f in frames]
-    return ExactIndex(frames[0], index.objective, block_size=8192).search(frames[1], k, "blocked")
+    return ExactIndex(frames[0], index.objective, block_size=8192, query_block=64).search(frames[1], k, "blocked")
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,12 @@ class Reference:
     method: str
     digest: str
     boundary_margin: float
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Gives back what the result is kept in."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def boundary_margins(top: DataFrame, k: int) -> DataFrame:
@@ -80,9 +88,10 @@ def build_reference(index: ExactIndex, queries: DataFrame, k: int, scalar_limit:
     top = (trusted_search if scalar else blocked_search)(index, queries, k + 1).persist()
     margin = boundary_margins(top, k).agg(F.min("margin")).first()[0]
     if margin <= 0:
+        top.unpersist()
         raise InvalidVectors("the boundary between rank k and k + 1 is tied")
     result = top.where(F.col("rank") <= k)
-    return Reference(result, "scalar_fsum" if scalar else "blocked_float64", result_digest(result), float(margin))
+    return Reference(result, "scalar_fsum" if scalar else "blocked_float64", result_digest(result), float(margin), top)
 
 
 def result_digest(neighbors: DataFrame) -> str:

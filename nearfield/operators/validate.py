@@ -39,7 +39,7 @@ def neighbour_count(k: object, size: int) -> int:
     if isinstance(k, bool) or not isinstance(k, int):
         raise InvalidParameter("k must be an integer")
     if not 1 <= k <= size:
-        raise InvalidParameter(f"k must satisfy 1 <= k <= {size}")
+        raise InvalidParameter(f"k is out of range: 1 <= k <= {size} here")
     return k
 
 

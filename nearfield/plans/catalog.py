@@ -52,6 +52,13 @@ NATURAL_DATASET = {
     "dimension": 384, "corpus_size": 5_183, "query_count": 1_109, "dtype": "float32", "normalization": "l2_unit_rows",
 }
 
+
+
+def natural_dataset(spark: SparkSession) -> DataFrame:
+    """The manifest of the natural dataset, in one row."""
+    return spark.createDataFrame([tuple(NATURAL_DATASET.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in NATURAL_DATASET.items()))
+
+
 POINT = ["objective", "corpus_size", "dimension", "query_count", "k"]
 
 

@@ -371,7 +371,7 @@ def median_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT min(sample_count) FROM r WHERE metric = 'tail_latency')::BIGINT AS tail)
 SELECT collection_count, record_count, cell_count, runs AS minimum_runs_per_cell, rounds AS minimum_rounds_per_run, tail AS minimum_tail_samples_per_run, true AS all_collections_complete, false AS all_sources_clean,
   false AS single_revision, true AS single_source_tree_digest, false AS formal_ready, 'rev-a,rev-b' AS revisions, 'digest' AS source_tree_digests,
-  concat_ws('; ', 'dirty source tree: collection-1', CASE WHEN runs < 5 THEN concat('minimum independent runs per cell is ', runs, '; formal policy requires 5') END, 'collections do not share one Git revision') AS issues FROM t""")
+  concat_ws('; ', 'made from a changed tree: collection-1', CASE WHEN runs < 5 THEN concat('some cell has only ', runs, ' independent runs of the 5 wanted') END, 'there are several revisions, or none') AS issues FROM t""")
 def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     collections = spark.createDataFrame([("collection-0", 0, True, "rev-a", "digest", False), ("collection-1", 1, True, "rev-b", "digest", True)], "collection string, position int, is_complete boolean, git_revision string, source_tree_digest string, git_dirty boolean")
     row = study.audit(surrogate_records(spark, sf_dir), collections)

@@ -8,7 +8,7 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidParameter
@@ -68,6 +68,14 @@ def files_digest(files: DataFrame) -> str:
     return "sha256:" + total.hexdigest()
 
 
+def tree_digest(spark: SparkSession, root: str, pattern: str = "*") -> str:
+    """The digest of all files under root, at any depth, whose names fit the pattern; paths count from root on, empty files not at all."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    own = root.split(":", 1)[-1].strip("/")
+    inside = F.col("path").substr(F.instr("path", own) + F.lit(len(own)), F.length("path"))
+    return files_digest(files.withColumn("path", inside))
+
+
 def winner_chart(won: DataFrame) -> DataFrame:
     """Bars of the winner chart, from the fewest wins up."""
     return study.winner_counts(won).orderBy("wins", "implementation")
@@ -79,6 +87,17 @@ def contrast_chart(pairs: DataFrame, question: str) -> DataFrame:
     return pairs.where(F.col("question") == question).select("case_name", "objective", F.col(factor).alias("factor"), "candidate_improvement_percent").orderBy("factor", "objective")
 
 
+def charts(questions: tuple[tuple[str, ...], ...] = study.QUESTIONS) -> list[dict[str, str]]:
+    """What each chart of a bundle shows: its data in charts.json, its kind, and the columns along its axes."""
+    own = [{"chart": "latency_winner_counts", "kind": "bar", "x": "wins", "y": "implementation", "series": ""}]
+    return own + [{"chart": q[0], "kind": "points", "x": "factor", "y": "candidate_improvement_percent", "series": "objective"} for q in questions]
+
+
+def interval_chart(classified: DataFrame) -> DataFrame:
+    """Points with error bars of a confirmatory experiment, the margins of its threshold, and a colour class each."""
+    return classified.select("label", F.col("improvement_percent").alias("x"), "bar_below", "bar_above", (-F.col("threshold_percent")).alias("margin_low"), F.col("threshold_percent").alias("margin_high"), F.col("regression").alias("series")).orderBy("label")
+
+
 def report(analysis: Analysis) -> str:
     """The findings in Markdown, from frames of study size."""
     audit = analysis.audit.first()
@@ -104,9 +123,9 @@ def write_bundle(analysis: Analysis, output: str | Path) -> None:
     frames = {"measurements": analysis.records, "summary": analysis.summaries, "winners": analysis.winners, "pairwise": analysis.pairwise}
     for name, frame in frames.items():
         write_one_csv(frame, folder / f"{name}.csv", ORDERS[name])
-    charts = {"latency_winner_counts": [r.asDict() for r in winner_chart(analysis.winners).collect()]}
-    charts |= {q[0]: [r.asDict() for r in contrast_chart(analysis.pairwise, q[0]).collect()] for q in study.QUESTIONS}
-    write_json(charts, folder / "charts.json")
+    data = {"latency_winner_counts": [r.asDict() for r in winner_chart(analysis.winners).collect()]}
+    data |= {q[0]: [r.asDict() for r in contrast_chart(analysis.pairwise, q[0]).collect()] for q in study.QUESTIONS}
+    write_json(data | {"charts": charts()}, folder / "charts.json")
     counts = {name: frame.count() for name, frame in frames.items()}
     write_json({"schema_version": 1, "analysis_kind": "discovery", "input_digest": analysis.input_digest, "audit": analysis.audit.first().asDict(), "counts": counts, "questions": [q[0] for q in study.QUESTIONS]}, folder / "analysis.json")
     (folder / "report.md").write_text(report(analysis), encoding="utf-8")

@@ -48,7 +48,7 @@ def test_experiments(spark):
     with pytest.raises(InvalidParameter, match="choose one of"):
         E.experiment(spark, "unknown")
     bad = E.registry(spark).selectExpr("* except (candidate)", "baseline as candidate")
-    assert {r.problem for r in E.broken_rules(bad).collect()} == {"variants must differ"}
+    assert {r.problem for r in E.broken_rules(bad).collect()} == {"baseline and candidate are the same"}
     assert E.predeclared(E.registry(spark), spark.createDataFrame([("other",), ("blocked_vs_argpartition",)], "identifier string")).count() == 1
 
 

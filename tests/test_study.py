@@ -51,7 +51,7 @@ def test_audit(spark):
     clean = S.audit(records(spark, (1, 1, 1, 1, 1), CELLS[:1]), collections(spark, 5)).first()
     assert clean.formal_ready and clean.issues == [] and clean.minimum_runs_per_cell == 5 and clean.minimum_tail_samples_per_run is None
     bad = S.audit(records(spark, (1, 1), CELLS[:1]), collections(spark, 2, dirty={0})).first()
-    assert not bad.formal_ready and bad.issues == ["dirty source tree: run-0", "minimum independent runs per cell is 2; formal policy requires 5"]
+    assert not bad.formal_ready and bad.issues == ["made from a changed tree: run-0", "some cell has only 2 independent runs of the 5 wanted"]
     none = S.audit(records(spark, ()), collections(spark, 0)).first()
     assert (none.cell_count, none.minimum_rounds_per_run, none.all_sources_clean, none.formal_ready) == (0, 0, False, False)
 
