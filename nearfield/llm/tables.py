@@ -13,16 +13,19 @@ SLICE = 1 << 16
 _SCHEMA = "slice long, data binary"
 
 
-def add_up(rows: DataFrame, size: int, fill: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
-    """The sum over all tasks of a table of `size` 64-bit counts; fill(table, batch) adds a batch to its task's table.
+def add_up(rows: DataFrame, size: int, begin: Callable[[], tuple[Callable[[np.ndarray, pa.RecordBatch], None], Callable[[np.ndarray], None]]]) -> np.ndarray:
+    """The sum over all tasks of a table of `size` 64-bit counts.
 
-    A task sends only slices that aren't all zero; slices are added by the executors, and the driver gets one table.
+    begin() is called in each task: it gives fill(table, batch), which adds a batch to its task's table, and
+    finish(table). A task sends only slices that aren't all zero; slices are added by the executors, and the driver gets one table.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(-(-size // SLICE) * SLICE, np.int64)
+        fill, finish = begin()
         for batch in batches:
             fill(table, batch)
+        finish(table)
         own = table.reshape(-1, SLICE)
         for k in np.flatnonzero(own.any(axis=1)):
             yield pa.record_batch([pa.array([k], pa.int64()), pa.array([own[k].tobytes()], pa.binary())], ["slice", "data"])
