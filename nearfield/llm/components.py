@@ -7,26 +7,39 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.cluster import durable
 
+#: Keys that hold more than this share of the rows are joined by broadcast: there are fewer than its inverse of them
+HOT = 1 / 1000
+
+
+def hot_joined(rows: DataFrame, named: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows with the columns of named, which has each key once; the few keys of hot are joined by broadcast, so no task gets all their rows."""
+    few = F.broadcast(hot.select(*keys).withColumn("hot__", F.lit(True)))
+    told = rows.join(few, keys, "left")
+    hot_named = F.broadcast(named.join(few, keys, "left_semi").select(*named.columns))
+    cold = told.where("hot__ is null").drop("hot__").join(named, keys)
+    return cold.unionByName(told.where("hot__").drop("hot__").join(hot_named, keys))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a long, b long): root is the smallest node of its component.
 
     Each round sends the larger neighbours of every node to its smallest one, then the smaller ones likewise; the
     number of rounds grows with the logarithm of the longest chain. A node's neighbours are never gathered: its minimum is an
-    aggregate that is combined before the shuffle, and joins can be split where a node has very many links. Null ends
-    and links of a node to itself are left out.
+    aggregate that is combined before the shuffle, and the few nodes with over a thousandth of the links are joined by
+    broadcast. Null ends and links of a node to itself are left out.
     """
     own = links.where("a is not null and b is not null and a <> b")
     edges = durable(own.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, count = None, edges.count()
     while True:
+        hot = F.col("n") > max(8, 2 * count * HOT)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_joined(both.where("v > u"), least.select("u", "m"), ["u"], least.where(hot)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_joined(large, lows.select("u", "m"), ["u"], lows.where(hot)).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = durable(small.unionByName(lows.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) >> 16"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        seen, count = now, now[0]

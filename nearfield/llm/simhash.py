@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.cluster import durable, ship
-from nearfield.llm.components import components
+from nearfield.llm.components import HOT, components, hot_joined
 from nearfield.llm.wordscan import LOWER, U64, mix, text_chunks
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
 FRONTIER = 1 << 20
-#: Keys that hold more than this share of the rows are joined by broadcast: there are fewer than its inverse of them
-HOT = 1 / 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, second: bool = False) -> int | tuple[int, int]:
@@ -178,15 +176,6 @@ def shard_keys(fp: str = "fp", radius: int = RADIUS) -> F.Column:
     return F.expr("array(" + ", ".join(f"{k}L << {2 * wide} | {block[i]} << {wide} | {block[j]}" for k, (i, j) in enumerate(combinations(range(len(blocks)), 2))) + ")")
 
 
-def _joined(rows: DataFrame, named: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """rows with the columns of named, which has each key once; the few keys of hot are joined by broadcast, so no task gets all their rows."""
-    few = F.broadcast(hot.select(*keys).withColumn("hot__", F.lit(True)))
-    told = rows.join(few, keys, "left")
-    hot_named = F.broadcast(named.join(few, keys, "left_semi"))
-    cold = told.where("hot__ is null").drop("hot__").join(named, keys)
-    return cold.unionByName(told.where("hot__").drop("hot__").join(hot_named, keys))
-
-
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, confirm: int | None = None) -> DataFrame:
     """doc_id, fp, component_id: the 64-bit fingerprint of each document and the smallest doc_id it is linked to.
 
@@ -217,10 +206,10 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     alone = alone.join(roots, alone.root == roots.node, "left").withColumn("linked", F.col("node").isNotNull()).drop("node")
     linked = linked.unionByName(alone.where("linked").drop("linked"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
-    together = _joined(linked, ids.select("root", "component_id"), ["root"], ids.where(F.col("m") > max(1, kinds * HOT)))
+    together = hot_joined(linked, ids.select("root", "component_id"), ["root"], ids.where(F.col("m") > max(1, kinds * HOT)))
     named = durable(together.select("fp", "other", "component_id").unionByName(alone.where("not linked").select("fp", "other", F.col("least").alias("component_id"))))
     hot = distinct.where(F.col("n") > max(1, rows * HOT))
-    return _joined(prints, named, ["fp", "other"], hot).select("doc_id", "fp", "component_id")
+    return hot_joined(prints, named, ["fp", "other"], hot).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
