@@ -20,6 +20,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "entropy"]
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+PIECE = 256
 #: Bits a character that a window must reach, by the class of the candidate.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 ALLOWED = [
@@ -31,18 +32,27 @@ ALLOWED = [
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """array<struct<start, kind, end, found>>: all matches, from what lies between them; code points, end exclusive."""
+    """array<struct<start, kind, end, found>>: all matches, from what lies between them; code points, end exclusive.
+
+    Matches are placed by PIECE of them at a time, so the list isn't copied whole for each.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["between"])
         end = start + F.length(pair["found"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["found"].alias("found"))).alias("out"))
 
+    def piece(acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(pairs, k * PIECE + 1, F.lit(PIECE)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(own), lambda q: F.struct(q["at"].alias("at"), F.array_append(acc["out"], q["out"]).alias("out")))[0]
+
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("between"), found.alias("found"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step)["out"]).otherwise(begin["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int,found:string>>>").alias("out"))
+    pieces = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(pieces, begin, piece)["out"])).otherwise(none)
 
 
 def _value(found: Column) -> Column:

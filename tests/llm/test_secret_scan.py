@@ -53,3 +53,12 @@ def test_redact_leaves_other_columns_alone(make_docs):
     got = M.redact(docs).orderBy("doc_id").collect()
     assert list(got[0].asDict()) == docs.columns and {(r.spans, r.score) for r in got} == {("mine", "extra")}
     assert [(r.text, r.n_chars) for r in got] == [("[secret] and more", 17), (None, None), ("plain", 5)]
+
+
+def test_texts_with_very_many_matches(make_docs):
+    """More than several pieces of matches; starts go on from piece to piece."""
+    n = 3 * M.PIECE + 5
+    text = " ".join(f"token={k:08d}" for k in range(n)) + " ü " + " ".join(f"{k:024x}" for k in range(n))
+    (row,) = M.secret_spans(make_docs([text])).collect()
+    assert [text[x.start : x.end] for x in row.spans if x.kind == 0] == [f"token={k:08d}" for k in range(n)]
+    assert [text[x.start : x.end] for x in row.spans if x.kind == 2] == [f"{k:024x}" for k in range(n)]
