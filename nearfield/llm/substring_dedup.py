@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.cluster import durable, ship, stored
+from nearfield.llm.tables import bitmap, in_bitmap
 from nearfield.llm.wordscan import NOT_SPACE, U64, Words, in_one_row, joined, mix, sliding_min, spread, text_chunks, window_hashes
 
 WINDOW = 13
@@ -62,8 +63,7 @@ class Survivors:
         """(anchor of each window, whether it repeats)."""
         least = _anchors(h, self.length, window)
         if self.bits is not None:
-            table = self.bits.value
-            return least, (table[(least >> U64(6)) & U64(len(table) - 1)] >> (least & U64(63)) & U64(1)).astype(bool)
+            return least, in_bitmap(self.bits.value, least)
         found = np.zeros(len(least), bool)
         for k, own in enumerate(live):
             if own is not None:
@@ -152,17 +152,6 @@ def _cut(window: int, below: Survivors | None):
     return run
 
 
-def _bitmap(hashes: DataFrame, size: int) -> np.ndarray:
-    """A bit for each hash, gathered as words of 64 bits: size / 64 rows at most, however many hashes there are."""
-    got = (
-        hashes.select(F.expr(f"shiftrightunsigned(h, 6) & {size // 64 - 1}L").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-        .groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()
-    )
-    table = np.zeros(size // 64, U64)
-    table[got.column("k").to_numpy()] = got.column("bits").to_numpy().view(U64)
-    return table
-
-
 def first_copies(texts: DataFrame, most: int) -> DataFrame:
     """(digest, first): the smallest doc_id of each text that several rows have; marked for broadcast up to `most` of them."""
     again = texts.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -180,7 +169,7 @@ def _narrowed(known: DataFrame, length: int, window: int, below: Survivors | Non
     survivors = Survivors(length, hot=context.broadcast(np.sort(hot)) if len(hot) else None)
     size = 1 << max(12, int(12 * count).bit_length())
     if size <= filter_bits:
-        survivors.bits = context.broadcast(_bitmap(again.select("h"), size))
+        survivors.bits = context.broadcast(bitmap(again.select("h"), size))
         return known, survivors, count
     pairs = known.mapInArrow(_level(length, window, below, True), "h long, doc_id long").join(again.select("h"), "h", "left_semi")
     live = pairs.groupBy("doc_id").agg(F.collect_set("h").alias("live"))

@@ -1,4 +1,4 @@
-"""Dense count tables that workers fill side by side and Spark adds up, slice by slice."""
+"""Tables that workers fill side by side and Spark adds up: dense counts, slice by slice, and bitmaps of hashes."""
 
 from __future__ import annotations
 
@@ -42,3 +42,19 @@ def add_up(rows: DataFrame, size: int, begin: Callable[[], tuple[Callable[[np.nd
     for row in summed.select("slice", "data").toLocalIterator():
         table[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["data"], np.int64)
     return table[:size]
+
+
+def bitmap(hashes: DataFrame, size: int) -> np.ndarray:
+    """A bit for each h of hashes, gathered as words of 64 bits: size / 64 rows at most, however many hashes there are."""
+    got = (
+        hashes.select(F.expr(f"shiftrightunsigned(h, 6) & {size // 64 - 1}L").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        .groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()
+    )
+    table = np.zeros(size // 64, np.uint64)
+    table[got.column("k").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def in_bitmap(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit: all that the bitmap was made of, and a few others."""
+    return (table[(h >> np.uint64(6)) & np.uint64(len(table) - 1)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
