@@ -113,3 +113,40 @@ def test_checks_before_search(spark):
             index.search(frame(spark, TIE, "query_id"), k)
     with pytest.raises(InvalidParameter, match="strategy"):
         index.search(frame(spark, TIE, "query_id"), 1, "guess")
+
+
+def test_scores_of_pairs_are_those_of_the_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from nearfield.objectives import score
+
+    rows = [("a", [0.1, 0.2, -0.3]), ("b", None), ("c", [1.5, None, 0.0]), ("d", [7.0]), ("e", []), (None, [1e-3, 1e9, -0.7])]
+    corpus = spark.createDataFrame(rows, "id string, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(rows)], "query_id int, vector array<float>")
+    for objective in ("squared_l2", "inner_product"):
+        got = S.score_matrix(corpus, queries, objective)
+        want = corpus.crossJoin(queries.withColumnRenamed("vector", "q")).select("query_id", "id", score(objective, F.col("vector"), F.col("q")).alias("score"))
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # not the interpreted sums of each pair
+
+
+@pytest.mark.parametrize("bound", ["TASK_PAIRS", "KEPT_ROWS", "SORTED_ROWS", "SORTED_BYTES"])
+def test_small_bounds_give_the_same_rows(spark, monkeypatch, bound):
+    rng = np.random.default_rng(3)
+    corpus, queries = rng.integers(-2, 3, (70, 3)).tolist(), rng.integers(-2, 3, (9, 3)).tolist()
+    want = plain_topk(corpus, queries, 70, "squared_l2")
+    monkeypatch.setattr(S, bound, 8)
+    monkeypatch.setattr(S, "TILE", (4, 16))
+    index = S.ExactIndex(frame(spark, corpus, kind="double"), "squared_l2")
+    for strategy in S.STRATEGIES:
+        for k in (1, 7, 70):
+            got = sorted(map(tuple, index.search(frame(spark, queries, "query_id", "double"), k, strategy).collect()))
+            assert got == [r for r in want if r[1] <= k], (strategy, k)
+
+
+def test_long_lists_are_not_held_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "KEPT_ROWS", 8)
+    made = []
+    monkeypatch.setattr(S, "_full_sort", lambda *a, run=S._full_sort: made.append(1) or run(*a))
+    index = S.ExactIndex(frame(spark, TIE))
+    assert len(triples(index.search(frame(spark, TIE, "query_id"), 5))) == 25 and made == [1]
