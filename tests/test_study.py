@@ -89,3 +89,16 @@ def test_run_group_files(spark, tmp_path):
         R.read_run_groups(spark, [str(tmp_path / "bad.json")]).collect()
     digest = sinks.files_digest(spark.read.format("binaryFile").load(str(tmp_path / "a")))
     assert digest == sinks.files_digest(spark.read.format("binaryFile").load(str(tmp_path / "a"))) and digest.startswith("sha256:")
+
+
+def test_run_groups_are_split_into_files_of_bounded_size(spark, sf_dir, tmp_path, monkeypatch):
+    from nearfield import registry_contracts as C
+
+    monkeypatch.setattr(C, "GROUP_ROWS", 50)
+    monkeypatch.setattr(C, "_shared_folder", lambda _: str(tmp_path / "new"))
+    root = C._written_groups(spark, sf_dir)
+    folders = R.collection_folders(spark, root, "part-*").collect()
+    files = R.read_run_groups(spark, [r.collection for r in folders]).groupBy("collection").count().collect()
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    assert len(folders) == 10 and texts.selectExpr("max(size(split(value, '\"source\"')) - 1)").first()[0] <= 50
+    assert sum(r["count"] for r in files) == R.surrogate_records(spark, sf_dir).count() and texts.count() > 10 * 10
