@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from nearfield.errors import InvalidParameter, InvalidVectors
 from nearfield.functions.vectors import as_doubles, norm
 from nearfield.objectives import Objective
-from nearfield.operators.search import ExactIndex, in_blocks, rank
+from nearfield.operators.search import ExactIndex, RunningTop, in_blocks, running_search
 from nearfield.operators.validate import positive_int
 
 # Fixed values
@@ -25,21 +24,21 @@ TOLERANCE = {"float32": (2e-4, 2e-5), "float64": (2e-10, 2e-10)}  # relative, ab
 DIGEST_DOMAIN = b"exact-top-k-result-v1"
 
 
-def trusted_search(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Like index.search, with every sum correctly rounded (math.fsum), in Arrow batches of pairs."""
-    prepared, objective = index.prepare_queries(queries), index.objective
-    index.search_prepared(prepared, k)  # the same checks
+class _Trusted(RunningTop):
+    """Candidates of matrix products, by the same bounds, scored with correctly rounded sums."""
+
+    def exact(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        terms = (rows - queries) ** 2 if self.objective is Objective.SQUARED_L2 else rows * queries
+        sums = np.fromiter(map(math.fsum, terms.tolist()), np.float64, len(terms))
+        return (-sums if self.objective is Objective.SQUARED_L2 else sums) + 0.0
 
-    @F.pandas_udf("double")
-    def value(left: pd.Series, right: pd.Series) -> pd.Series:
-        pairs = ((np.asarray(a, np.float64).tolist(), np.asarray(b, np.float64).tolist()) for a, b in zip(left, right, strict=True))
-        if objective is Objective.SQUARED_L2:
-            return pd.Series([-math.fsum((x - y) ** 2 for x, y in zip(a, b, strict=True)) + 0.0 for a, b in pairs], dtype=float)
-        return pd.Series([math.fsum(x * y for x, y in zip(a, b, strict=True)) + 0.0 for a, b in pairs], dtype=float)
 
+def trusted_search(index: ExactIndex, queries: DataFrame, k: int) -> DataFrame:
+    """Like index.search, with every sum that rounding could let into the top k correctly rounded (math.fsum)."""
+    prepared = index.prepare_queries(queries)
+    index.search_prepared(prepared, k)  # the same checks
     parts = in_blocks(prepared.frame, 8 * prepared.shape.size * prepared.shape.dimension)
-    pairs = [index._corpus.crossJoin(F.broadcast(part.withColumnRenamed("vector", "q"))) for part in parts]
-    return reduce(DataFrame.unionByName, [rank(p.select("query_id", "id", value("vector", "q").alias("score")), k) for p in pairs])
+    return reduce(DataFrame.unionByName, [running_search(index, part, k, _Trusted, 256) for part in parts])
 
 
 def renormalized(v: Column) -> Column:

@@ -59,3 +59,18 @@ def test_validator(spark, actual, expected, problem):
     else:
         with pytest.raises(InvalidVectors, match=problem):
             T.check_against(a, e)
+
+
+def test_trusted_sums_only_what_may_be_among_the_first(spark):
+    data = synthetic.uniform_sphere(spark, 3000, 9, 4, seed=5)
+    index = ExactIndex(data.corpus.repartition(2))
+    plan = T.trusted_search(index, data.queries, 3)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    import math
+
+    rows, asked = ([(r[0], [float(x) for x in r.vector]) for r in f.collect()] for f in (index._corpus, data.queries))
+    want = []
+    for q, v in asked:
+        best = sorted((-math.fsum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in rows)[:3]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, T.trusted_search(index, data.queries, 3).collect())) == sorted(want)
