@@ -102,3 +102,13 @@ def test_run_groups_are_split_into_files_of_bounded_size(spark, sf_dir, tmp_path
     texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     assert len(folders) == 10 and texts.selectExpr("max(size(split(value, '\"source\"')) - 1)").first()[0] <= 50
     assert sum(r["count"] for r in files) == R.surrogate_records(spark, sf_dir).count() and texts.count() > 10 * 10
+
+
+def test_run_group_folders_are_found_by_manifests_without_records(spark, sf_dir, tmp_path, monkeypatch):
+    from nearfield import registry_contracts as C
+
+    monkeypatch.setattr(C, "_shared_folder", lambda _: str(tmp_path / "new"))
+    root = C._written_groups(spark, sf_dir)
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=C.MANIFESTS)
+    assert found.count() == 11 and found.selectExpr("max(length(value))").first()[0] < 100
+    assert len(R.collection_folders(spark, root, C.MANIFESTS).collect()) == 10
