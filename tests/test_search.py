@@ -150,3 +150,24 @@ def test_long_lists_are_not_held_by_tasks(spark, monkeypatch):
     monkeypatch.setattr(S, "_full_sort", lambda *a, run=S._full_sort: made.append(1) or run(*a))
     index = S.ExactIndex(frame(spark, TIE))
     assert len(triples(index.search(frame(spark, TIE, "query_id"), 5))) == 25 and made == [1]
+
+
+def test_offers_sort_lists_of_their_own_queries_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows, queries = rng.integers(-3, 4, (60, 3)).astype(float), rng.integers(-3, 4, (20, 3)).astype(float)
+    want = plain_topk(rows.tolist(), queries.tolist(), 7, "squared_l2")
+    sizes = []
+    monkeypatch.setattr(S.np, "lexsort", lambda keys, run=np.lexsort: sizes.append(len(keys[0])) or run(keys))
+    top = S.RunningTop(queries, 7, S.Objective.SQUARED_L2)
+    for at in range(0, 60, 30):
+        for which in np.array_split(rng.permutation(20), 4):
+            top.offer(np.arange(at, at + 30), rows[at : at + 30], (rows[at : at + 30] ** 2).sum(axis=1), which)
+    got = sorted(zip(top.query.tolist(), (-top.score).tolist(), top.id.tolist(), strict=True))
+    assert [(q, i, -d) for q, d, i in got] == [(q, i, s) for q, _, i, s in want]
+    assert max(sizes) <= 5 * (7 + 30)
+
+
+def test_downwards_is_a_stable_order():
+    rng = np.random.default_rng(6)
+    for scores in (rng.integers(0, 4, 1000).astype(float), rng.standard_normal(1000), np.zeros(5), np.zeros(0), np.array([0.0, -0.0, 1.0, -0.0])):
+        assert S.downwards(scores).tolist() == np.argsort(-scores, kind="stable").tolist()
