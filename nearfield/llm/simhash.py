@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.cluster import durable, ship
-from nearfield.llm.components import HOT, components, hot_joined
+from nearfield.llm.components import HOT, components, hot_joined, merged
 from nearfield.llm.wordscan import LOWER, U64, mix, text_chunks
 
 SHINGLE = 4
@@ -113,27 +113,12 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, other:
                 step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 queue.append((np.repeat(q, many), kids[np.repeat(a, many) + step]))
             if sum(len(x) for x, _ in left) > FRONTIER or not queue:
-                label = _merge(label, left)
+                label = merged(label, left)
                 left = []
     own = np.flatnonzero(label != np.arange(n))
     return own, label[own]
 
 
-def _merge(label: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest row of each group, after joining the groups of linked rows."""
-    if not links:
-        return label
-    a, b = np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links])
-    while True:
-        x, y = label[a], label[b]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        if (low == high).all():
-            return label
-        np.minimum.at(label, high, low)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def _shards(radius: int, confirm: int | None):
     """Rows come sorted by shard; a shard cut by the end of a batch waits for its rest."""
 

@@ -69,6 +69,22 @@ def test_components_of_long_chains(spark):
     assert all(got[k] == 0 for k in range(1, 201)) and got[1001] == 1000
 
 
+def test_components_of_few_links_take_no_rounds(spark):
+    rng = np.random.default_rng(8)
+    pairs = [*rng.integers(-(1 << 40), 1 << 40, 60)[rng.integers(0, 60, (70, 2))].tolist(), [None, 5], [5, 5]]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    tracker, group = spark.sparkContext.statusTracker(), "few links"
+    spark.sparkContext.setJobGroup(group, group)
+    got = components(links)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    rounds = components(links, few=0)
+    assert jobs * 2 < len(tracker.getJobIdsForGroup("rounds"))
+    told = lambda frame: sorted((r.node, r.root) for r in frame.collect())
+    assert told(got) == told(rounds) != []
+    assert told(components(links.where("a is null"))) == []
+
+
 def test_wider_radius_and_second_fingerprints_against_plain_version(make_docs, corpus):
     import itertools
 
